@@ -242,11 +242,9 @@ def _place_rows(numbered: DataFrame, cuts: DataFrame, total: int, count: int) ->
     whole table, however uneven the slices are.
     """
     width = max(1, total // max(1, count))
-    windows = F.sequence(
-        F.floor((F.col("first_rn") - 1) / F.lit(width)), F.floor((F.col("last_rn") - 1) / F.lit(width))
-    )
-    spread = cuts.withColumn("_window", F.explode(windows).cast("bigint"))
-    rows = numbered.withColumn("_window", F.floor((F.col("rn") - 1) / F.lit(width)).cast("bigint"))
+    window_of = lambda rn: F.floor((rn - 1) / F.lit(width)).cast("bigint")
+    spread = cuts.withColumn("_window", F.explode(F.sequence(window_of(F.col("first_rn")), window_of(F.col("last_rn")))))
+    rows = numbered.withColumn("_window", window_of(F.col("rn")))
     inside = (F.col("rn") >= F.col("first_rn")) & (F.col("rn") <= F.col("last_rn"))
     return (
         rows.join(spread, "_window")

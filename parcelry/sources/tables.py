@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from parcelry.functions.scalars import to_integer
 
-CATALOG_SCHEMA = "name string, rows bigint, bytes bigint"
+LOCATION = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"  # scheme and host in front of a path
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -26,26 +27,33 @@ def table_catalog(
     A positive estimate is trusted and costs no scan; otherwise the count is exact, which for
     Parquet reads the footers only. Bytes come from the file listing.
     """
-    hints = spark.createDataFrame(
-        [(name, None if estimates is None else _text(estimates.get(name))) for name in paths], "name string, hint string"
-    )
-    trusted = {row["name"]: row["rows"] for row in hints.select("name", to_integer("hint").alias("rows")).collect()}
-    facts = []
+    trusted = _trusted_estimates(spark, paths, estimates or {})
+    counts = []
     for name, path in paths.items():
         label = F.lit(name).alias("name")
-        if trusted[name] > 0:
-            rows = spark.range(1).select(label, F.lit(trusted[name]).cast("bigint").alias("rows"))
+        if trusted.get(name, 0) > 0:
+            rows = spark.range(1).select(F.lit(trusted[name]).cast("bigint").alias("rows"))
         else:
-            rows = read_table(spark, path, fmt).agg(F.count("*").alias("rows")).select(label, "rows")
-        size = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
-        facts.append(rows.withColumn("bytes", F.lit(0).cast("bigint")))
-        facts.append(size.select(label, F.lit(0).cast("bigint").alias("rows"), F.col("length").alias("bytes")))
-    parts = reduce(DataFrame.unionByName, facts)
+            rows = read_table(spark, path, fmt).agg(F.count("*").alias("rows"))
+        counts.append(rows.select(label, "rows", F.lit(0).cast("bigint").alias("bytes")))
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths.values()))
+    local = F.regexp_replace("path", LOCATION, "")
+    owner = F.lit(None).cast("string")
+    for name, path in paths.items():
+        base = re.sub(LOCATION, "", path).rstrip("/")
+        owner = F.when((local == base) | F.startswith(local, F.lit(base + "/")), name).otherwise(owner)
+    sizes = listing.select(owner.alias("name"), F.lit(0).cast("bigint").alias("rows"), F.col("length").alias("bytes"))
+    parts = reduce(DataFrame.unionByName, [*counts, sizes])
     return parts.groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
 
 
-def _text(value: object) -> str | None:
-    return None if value is None else str(value)
+def _trusted_estimates(spark: SparkSession, paths: dict[str, str], estimates: dict[str, object]) -> dict[str, int]:
+    """Estimates as integers, unreadable ones as 0; one entry per listed table."""
+    given = [(name, str(estimates[name])) for name in paths if estimates.get(name) is not None]
+    if not given:
+        return {}
+    hints = spark.createDataFrame(given, "name string, hint string")
+    return {row["name"]: row["rows"] for row in hints.select("name", to_integer(F.col("hint")).alias("rows")).collect()}
 
 
 def structure_text(table: str, schema: T.StructType) -> str:
