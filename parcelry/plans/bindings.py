@@ -43,7 +43,18 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def table_stream(spark: SparkSession, sf: str, name: str, **options: str) -> DataFrame:
+    """The table's files as a stream."""
+    schema = table(spark, sf, name).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    return reader.options(**options).parquet(sf)
+
+
 def journal(spark: SparkSession, sf: str) -> DataFrame:
+    return journal_of(table(spark, sf, "events"))
+
+
+def journal_of(events: DataFrame) -> DataFrame:
     """Job journal: the user is the job, the event its state or kind."""
     event = F.col("event_type")
     state = (
@@ -51,7 +62,7 @@ def journal(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("running")
     )
     kind = F.when(event == "view", "attempt").when(event == "click", "advance").otherwise("other")
-    return table(spark, sf, "events").select(
+    return events.select(
         "event_id",
         F.col("user_id").alias("job_id"),
         unix(F.col("ts")).alias("ts"),

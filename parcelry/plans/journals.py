@@ -20,9 +20,13 @@ READY = "ready as (select event_id as seq, ts, job_id, us, k from journal where
 
 
 def audit_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return entries_of(events(spark, sf))
+
+
+def entries_of(rows: DataFrame) -> DataFrame:
     """One entry per ready event of the journal."""
     k = F.col("k").cast("string")
-    ready = events(spark, sf).filter(F.col("state") == "ready")
+    ready = rows.filter(F.col("state") == "ready")
     return ready.select(
         "ts",
         F.col("event_id").alias("seq"),
@@ -223,11 +227,11 @@ def _illegal(spark: SparkSession, sf: str) -> DataFrame:
     return journal.illegal_transitions(events(spark, sf).select("job_id", "event_id", "ts", "state"))
 
 
-def stall_events(spark: SparkSession, sf: str) -> DataFrame:
+def stall_events(rows: DataFrame) -> DataFrame:
     """Attempts and advances, and what an attempt spends."""
     k = F.col("k")
     spends = F.when(k < 60, "file").when(k < 97, "table").when(k < 99, "structure").otherwise("index")
-    return events(spark, sf).filter(F.col("kind").isin("attempt", "advance")).select(
+    return rows.filter(F.col("kind").isin("attempt", "advance")).select(
         "job_id", "ts", "event_id", "kind", spends.alias("spends")
     )
 
@@ -255,7 +259,7 @@ from job_ids left join outcome using (job_id)"""
 
 @query("stall_budgets", BUDGETS_SQL)
 def _budgets(spark: SparkSession, sf: str) -> DataFrame:
-    return budgets.stall_budgets(stall_events(spark, sf))
+    return budgets.stall_budgets(stall_events(events(spark, sf)))
 
 
 @query(
