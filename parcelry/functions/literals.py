@@ -42,8 +42,16 @@ def sql_literal(text: Column) -> Column:
     return F.coalesce(F.concat(F.lit("'"), escaped, F.lit("'")), F.lit("NULL"))
 
 
+def _field_literal(field: T.StructField) -> Column:
+    text = canonical_text(F.col(f"`{field.name}`"), field.dataType)
+    if isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        # The text of a number or a time holds nothing to escape.
+        return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("NULL"))
+    return sql_literal(text)
+
+
 def row_tuple(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """``(v1,v2,…)`` over the columns in definition order."""
     fields = [field for field in df.schema.fields if columns is None or field.name in columns]
-    literals = [sql_literal(canonical_text(F.col(f"`{field.name}`"), field.dataType)) for field in fields]
+    literals = [_field_literal(field) for field in fields]
     return F.concat(F.lit("("), F.concat_ws(",", *literals), F.lit(")"))

@@ -63,13 +63,22 @@ def is_restricted(path: Column) -> Column:
 
 def is_hostile(path: Column) -> Column:
     """A NUL byte or a ``..`` component: never a real selection, whatever exists on disk."""
-    return path.contains("\0") | F.array_contains(F.split(forward_slashes(path), "/", -1), "..")
+    return path.contains("\0") | path.rlike(r"(?:^|[/\\])\.\.(?:[/\\]|\z)")
 
 
 def resolved(path: Column) -> Column:
     """The manifest spelling of a harmless path: no empty and no ``.`` components."""
     kept = F.filter(F.split(path, "/", -1), lambda part: (part != "") & (part != "."))
-    return F.array_join(kept, "/")
+    odd = path.rlike(r"(?:^|/)\.?(?:/|\z)")
+    return F.when(odd, F.array_join(kept, "/")).otherwise(path)
+
+
+def scattered(key: Column, *row: str) -> Column:
+    """A join key that matches nothing for rows without one, spread out instead of all null.
+
+    No path or table name starts with NUL, so the stand-ins never meet a real key.
+    """
+    return F.coalesce(key, F.concat(F.lit("\0"), F.xxhash64(*row).cast("string")))
 
 
 def normalized(path: Column) -> Column:

@@ -54,8 +54,17 @@ def prefix_lookup(sizes: dict[int, int], part: Column) -> Column:
     return F.element_at(table, (part + 1).cast("int"))
 
 
-def stage_sorted(df: DataFrame, order: Sequence[str | Column], unique: Sequence[str] | None = None) -> Staged:
-    """Write ``df`` sorted by ``order``; refuse when the ``unique`` key has nulls or repeats."""
+def stage_sorted(
+    df: DataFrame,
+    order: Sequence[str | Column],
+    unique: Sequence[str] | None = None,
+    derive: dict[str, Column] | None = None,
+) -> Staged:
+    """Write ``df`` sorted by ``order``; refuse when the ``unique`` key has nulls or repeats.
+
+    ``derive`` adds columns after the exchange. The range exchange reads its input twice, once
+    to sample the bounds, so costly expressions belong behind it.
+    """
     spark = df.sparkSession
     ranged = df.repartitionByRange(*order)
     bad: Column = F.lit(False)
@@ -71,6 +80,7 @@ def stage_sorted(df: DataFrame, order: Sequence[str | Column], unique: Sequence[
         .withColumn("_bad", bad)
         .withColumn("_id", F.monotonically_increasing_id())
         .drop("_repeat")
+        .withColumns(derive or {})
     )
     path = scratch_path(spark, "sorted")
     placed.write.parquet(path)
@@ -87,16 +97,22 @@ def stage_sorted(df: DataFrame, order: Sequence[str | Column], unique: Sequence[
 
 
 def number_rows(
-    df: DataFrame, order: Sequence[str | Column], unique: Sequence[str] | None = None, name: str = "rn"
+    df: DataFrame,
+    order: Sequence[str | Column],
+    unique: Sequence[str] | None = None,
+    name: str = "rn",
+    derive: dict[str, Column] | None = None,
 ) -> tuple[DataFrame, int]:
     """``df`` plus a 1-based row number along ``order``, and the row count."""
-    staged = stage_sorted(df, order, unique)
+    staged = stage_sorted(df, order, unique, derive)
     return staged.rows.withColumn(name, staged.rn).drop("part", "pos"), staged.total
 
 
-def number_keyed(df: DataFrame, key: Sequence[str], name: str = "rn") -> tuple[DataFrame, int]:
+def number_keyed(
+    df: DataFrame, key: Sequence[str], name: str = "rn", derive: dict[str, Column] | None = None
+) -> tuple[DataFrame, int]:
     """Numbers along a declared key, which must be unique and never null."""
-    return number_rows(df, list(key), unique=list(key), name=name)
+    return number_rows(df, list(key), unique=list(key), name=name, derive=derive)
 
 
 def with_file_order(df: DataFrame) -> DataFrame:

@@ -126,7 +126,8 @@ def file_parts(df: DataFrame, part_bytes: int = PART_BYTES, content: str = "cont
     """Cuts binary content into parts: offset, length, done and bytes.
 
     The cut happens inside an array before it is exploded, so the whole content is not
-    copied once per part.
+    copied once per part. The outer form keeps Spark from cutting everything a second time
+    to test for emptiness; there is always at least one part.
     """
     part_bytes = max(1, part_bytes)
     body = F.col(content).cast("binary")
@@ -142,4 +143,4 @@ def file_parts(df: DataFrame, part_bytes: int = PART_BYTES, content: str = "cont
         )
 
     pieces = F.transform(part_offsets(size, part_bytes), cut)
-    return df.select(F.col(path).alias("path"), F.inline(pieces))
+    return df.select(F.col(path).alias("path"), F.inline_outer(pieces))

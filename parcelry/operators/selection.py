@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.functions.paths import is_hostile, is_restricted, resolved
+from parcelry.functions.paths import is_hostile, is_restricted, resolved, scattered
 
 SELECTION_CAP = 500_000
 TABLE_KINDS = ["table", "structure"]
@@ -25,7 +25,8 @@ def missing_tables(selection: DataFrame, catalog: DataFrame) -> DataFrame:
 def classify_files(selection: DataFrame, manifest: DataFrame) -> DataFrame:
     """Each requested file is kept, vanished, or out of bounds; hostility is judged first."""
     files = selection.filter(F.col("kind") == "file").withColumn("_hostile", is_hostile(F.col("name")))
-    files = files.withColumn("_path", F.when(~F.col("_hostile"), resolved(F.col("name"))))
+    path = F.when(~F.col("_hostile"), resolved(F.col("name")))
+    files = files.withColumn("_path", scattered(path, "job_id", "ordinal"))
     known = manifest.select(F.col("path").alias("_path"), F.lit(True).alias("_known")).distinct()
     label = F.when(F.col("_hostile"), "out_of_bounds").when(F.col("_known"), "kept").otherwise("vanished")
     joined = files.join(known, "_path", "left")
@@ -79,14 +80,17 @@ def selection_verdict(
         F.count_if(kind == "file").alias("files"),
         F.max(bad_entry).alias("bad"),
     )
-    hostile = is_hostile(name)
-    checked = per_name.withColumn("_path", F.when((F.col("files") > 0) & ~hostile, resolved(name)))
-    tables = catalog.select("name", F.lit(True).alias("in_catalog")).distinct()
-    paths = manifest.select(F.col("path").alias("_path"), F.lit(True).alias("on_disk")).distinct()
-    checked = checked.join(tables, "name", "left").join(paths, "_path", "left")
     is_table, is_file = F.col("whole") + F.col("bare") > 0, F.col("files") > 0
+    hostile = F.col("hostile")
+    checked = (
+        per_name.withColumn("hostile", is_file & is_hostile(name))
+        .withColumn("_path", scattered(F.when(is_file & ~hostile, resolved(name)), "job_id", "name"))
+        .withColumn("_table", scattered(F.when(is_table, name), "job_id", "name"))
+    )
+    tables = catalog.select(F.col("name").alias("_table"), F.lit(True).alias("in_catalog")).distinct()
+    paths = manifest.select(F.col("path").alias("_path"), F.lit(True).alias("on_disk")).distinct()
+    checked = checked.join(tables, "_table", "left").join(paths, "_path", "left")
     repeated = (F.col("whole") > 1) | (F.col("bare") > 1) | (F.col("files") > 1)
-    out_of_bounds = is_file & hostile
     vanished = is_file & ~hostile & F.col("on_disk").isNull()
     per_job = checked.groupBy("job_id").agg(
         F.sum("entries").alias("entries"),
@@ -94,7 +98,7 @@ def selection_verdict(
         F.max((F.col("whole") > 0) & (F.col("bare") > 0)).alias("overlap"),
         F.max(is_file & is_restricted(name)).alias("restricted"),
         F.max(is_table & F.col("in_catalog").isNull()).alias("no_table"),
-        F.max(out_of_bounds).alias("out_of_bounds"),
+        F.max(hostile).alias("out_of_bounds"),
         F.max(vanished).alias("vanished"),
         F.max(is_table).alias("has_table"),
         F.max(is_file & ~hostile & F.col("on_disk").isNotNull()).alias("has_kept"),

@@ -61,19 +61,35 @@ def slice_table(
     order: Sequence[str | Column] | None = None,
     size: Column | None = None,
     block_rows: int | None = None,
+    keep: Sequence[str] | None = None,
 ) -> Slices:
-    """Slice ``df`` along its key, or along an explicit total order when it has none."""
-    size = F.octet_length(row_tuple(df)) + 1 if size is None else size
-    sized = df.withColumn("row_bytes", size.cast("bigint"))
+    """Slice ``df`` along its key, or along an explicit total order when it has none.
+
+    ``keep`` names the columns wanted on the sliced rows, all of them by default. With the
+    key alone, the wide rows are read once to measure them and never shuffled.
+    """
+    if not key and not order:
+        raise ValueError("a table without a key needs an explicit order")
+    size = (F.octet_length(row_tuple(df)) + 1 if size is None else size).cast("bigint")
+    derive = {"row_bytes": size}
+    if keep is not None:
+        df, derive = _measured(df, keep, size), {}
     if key:
-        numbered, total = number_keyed(sized, key)
-    elif order:
-        numbered, total = number_rows(sized, order)
+        numbered, total = number_keyed(df, key, derive=derive)
     else:
-        raise ValueError("a table without a key needs an explicit order")
+        numbered, total = number_rows(df, order, derive=derive)
     return cut_slices(numbered, total, max_rows, max_bytes, block_rows)
 
 
+def _measured(df: DataFrame, keep: Sequence[str], size: Column) -> DataFrame:
+    """The kept columns and each row's rendered size, written out so rendering happens once."""
+    spark = df.sparkSession
+    narrow = df.select(*keep, size.alias("row_bytes"))
+    path = scratch_path(spark, "measured")
+    narrow.write.parquet(path)
+    return spark.read.schema(narrow.schema).parquet(path)
+
+
 def cut_slices(
     numbered: DataFrame, total: int, max_rows: int, max_bytes: int, block_rows: int | None = None
 ) -> Slices:

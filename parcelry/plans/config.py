@@ -25,8 +25,10 @@ select doc_id, name, cast(row_number() over (partition by doc_id order by spot)
 )
 def _names(spark: SparkSession, sf: str) -> DataFrame:
     """Every sentence's last word stands in a definition; names come back in source order."""
-    source = F.regexp_replace("text", r"([A-Za-z]+)\.", "define( '$1', 1 );")
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(define_names(source)).alias("place", "name"))
+    source = F.regexp_replace("text", r"(?<![A-Za-z])([A-Za-z]++)\.", "define( '$1', 1 );")
+    # The outer form keeps Spark from matching every text twice; texts without a name drop out after.
+    found = table(spark, sf, "documents").select("doc_id", F.posexplode_outer(define_names(source)).alias("place", "name"))
+    return found.filter(F.col("name").isNotNull())
 
 
 @query(

@@ -246,9 +246,11 @@ def _page_tree(spark: SparkSession, sf: str) -> str:
     """The pages written out as text files, one folder per host."""
     root = scratch_path(spark, "tree")
     pages = page_files(spark, sf).select(
-        F.substring_index("path", "/", 1).alias("host"), F.regexp_replace("content", "[\r\n]", " ").alias("value")
+        F.substring_index("path", "/", 1).alias("host"), F.regexp_replace("content", "[\r\n]", " ").alias("value"),
+        (F.col("page_id") % 16).alias("salt"),
     )
-    pages.repartition("host").write.partitionBy("host").text(root)
+    # The salt keeps a host with many pages in several files.
+    pages.repartition("host", "salt").drop("salt").write.partitionBy("host").text(root)
     return root.removeprefix("file:")
 
 

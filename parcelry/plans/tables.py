@@ -121,7 +121,7 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     f"with {NUMBERED_ORDERS} select o_orderkey, rn // 1000 as slice, rn % 1000 + 1 as row_in_slice from numbered",
 )
 def _slice_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return sliced_orders(spark, sf).rows.select("o_orderkey", "slice", "row_in_slice")
+    return sliced_orders(spark, sf, ["o_orderkey"]).rows.select("o_orderkey", "slice", "row_in_slice")
 
 
 @query(
@@ -143,7 +143,7 @@ def _slice_keyless(spark: SparkSession, sf: str) -> DataFrame:
 select n.doc_id, c.slice, n.rn - c.first_rn + 1 as row_in_slice from numbered n join cuts c on n.rn >= c.first_rn and n.rn < c.next_rn""",
 )
 def _slice_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    sliced = slicing.slice_table(table(spark, sf, "documents"), ["doc_id"], 1000, DOC_BUDGET)
+    sliced = slicing.slice_table(table(spark, sf, "documents"), ["doc_id"], 1000, DOC_BUDGET, keep=["doc_id"])
     return sliced.rows.select("doc_id", "slice", "row_in_slice")
 
 
@@ -158,7 +158,7 @@ select *, slice = (select max(slice) from closed) as complete from closed"""
 
 @query("slice_summary", SUMMARY_SQL)
 def _slice_summary(spark: SparkSession, sf: str) -> DataFrame:
-    summary = slicing.slice_summary(sliced_orders(spark, sf), ["o_orderkey"])
+    summary = slicing.slice_summary(sliced_orders(spark, sf, ["o_orderkey"]), ["o_orderkey"])
     return summary.fillna(-1, ["first_o_orderkey", "last_o_orderkey"])
 
 
@@ -198,8 +198,8 @@ def _table_segments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def sliced_orders(spark: SparkSession, sf: str) -> slicing.Slices:
-    return slicing.slice_table(table(spark, sf, "orders"), ["o_orderkey"])
+def sliced_orders(spark: SparkSession, sf: str, keep: list[str] | None = None) -> slicing.Slices:
+    return slicing.slice_table(table(spark, sf, "orders"), ["o_orderkey"], keep=keep)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
