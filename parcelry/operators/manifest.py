@@ -30,14 +30,15 @@ def path_pages(df: DataFrame, n: int = MANIFEST_PAGE) -> DataFrame:
         df.select("path", "size").withColumn("_key", path_key(F.col("path"))), ["_key"], unique=["_key"]
     )
     page = F.floor((F.col("rn") - 1) / F.lit(n)).cast("bigint")
-    pages = rows.groupBy(page.alias("page")).agg(
-        F.count("*").alias("files"),
-        F.sum("size").alias("bytes"),
-        F.min_by("path", "rn").alias("first_path"),
-        F.max_by("path", "rn").alias("last_path"),
+    place = (F.col("rn") - 1) % F.lit(n)
+    opens, closes = place == 0, (place == n - 1) | (F.col("rn") == total)
+    # The totals are numbers and hash-aggregate; only the rows at page ends carry their paths.
+    totals = rows.groupBy(page.alias("page")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    ends = rows.filter(opens | closes).groupBy(page.alias("page")).agg(
+        F.max(F.when(opens, F.col("path"))).alias("first_path"), F.max(F.when(closes, F.col("path"))).alias("last_path")
     )
     more = (F.col("page") + 1) * n < total
-    return pages.withColumn("cursor", F.when(more, encode_cursor(F.col("last_path"))))
+    return totals.join(ends, "page").withColumn("cursor", F.when(more, encode_cursor(F.col("last_path"))))
 
 
 def manifest_page(df: DataFrame, after: Sequence[str] | None, n: int = MANIFEST_PAGE) -> DataFrame:
@@ -79,21 +80,21 @@ def version_pin(observations: DataFrame, group: Sequence[str] = ("path",)) -> Da
 
     ``observations`` has ``at`` (a total order within a file), ``present``, ``size`` and
     ``mtime``. A file gone before any part is a skip; gone afterwards, or changed in size or
-    time between parts, it fails. Only mergeable aggregates, so a hot file combines map-side.
+    time between parts, it fails. Only mergeable numeric aggregates, so a hot file combines
+    map-side in a hash table.
     """
-    seen = F.when(F.col("present"), F.struct("size", "mtime"))
+    seen = {name: F.when(F.col("present"), F.col(name)) for name in ("size", "mtime")}
     gone_at = F.min(F.when(~F.col("present"), F.col("at")))
     part_at = F.min(F.when(F.col("present"), F.col("at")))
     summary = observations.groupBy(*group).agg(
         F.count("*").alias("observed"),
-        F.min(seen).alias("_low"),
-        F.max(seen).alias("_high"),
+        *[(F.min(value) != F.max(value)).alias(f"_{name}_moved") for name, value in seen.items()],
         gone_at.alias("_gone"),
         part_at.alias("_part"),
     )
     verdict = (
         F.when(F.col("_part").isNull() | (F.col("_gone") < F.col("_part")), "skipped")
-        .when(F.col("_low") != F.col("_high"), "changed")
+        .when(F.col("_size_moved") | F.col("_mtime_moved"), "changed")
         .when(F.col("_gone").isNotNull(), "vanished")
         .otherwise("pinned")
     )

@@ -66,15 +66,16 @@ def page_offset_by(df: DataFrame, order: Sequence[str | Column], skip: int, n: i
 
 def keyset_pages(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
     """Every page of a keyset walk: rows, first key, and the cursor (last key) it ends on."""
-    rows, _ = number_keyed(df.select(*key), key)
+    rows, total = number_keyed(df.select(*key), key)
+    # Only the rows at page ends are grouped; the numbers already tell how many lie between.
+    place = (F.col("rn") - 1) % F.lit(n)
+    opens, closes = place == 0, (place == n - 1) | (F.col("rn") == total)
     page = F.floor((F.col("rn") - 1) / F.lit(n)).cast("bigint")
-    keys = F.struct(*key)
-    pages = rows.groupBy(page.alias("page")).agg(
-        F.count("*").alias("rows"), F.min(keys).alias("first"), F.max(keys).alias("last")
-    )
-    firsts = [F.col(f"first.{name}").alias(f"first_{name}") for name in key]
-    lasts = [F.col(f"last.{name}").alias(f"last_{name}") for name in key]
-    return pages.select("page", "rows", *firsts, *lasts)
+    firsts = [F.max(F.when(opens, F.col(name))).alias(f"first_{name}") for name in key]
+    lasts = [F.max(F.when(closes, F.col(name))).alias(f"last_{name}") for name in key]
+    ends = rows.filter(opens | closes).groupBy(page.alias("page"))
+    rows_in = (F.max("rn") - F.min("rn") + 1).alias("rows")
+    return ends.agg(rows_in, *firsts, *lasts)
 
 
 def audit_page(

@@ -95,9 +95,12 @@ def reassemble(segments: DataFrame, group: Sequence[str] = ("name",), cell_bytes
     """Concatenates payloads by name in ``seq`` order.
 
     A resource above ``cell_bytes`` does not fit one cell: it stays as its ordered rows,
-    ``part`` giving the place of each, and the group is marked ``whole = false``.
+    ``part`` giving the place of each, and the group is marked ``whole = false``. A ``length``
+    column, when there is one, must hold the payload's size.
     """
-    totals = segments.groupBy(*group).agg(F.sum(F.octet_length("payload").cast("bigint")).alias("bytes"))
+    # A stored length spares the size check from reading the payloads.
+    length = F.col("length") if "length" in segments.columns else F.octet_length("payload").cast("bigint")
+    totals = segments.groupBy(*group).agg(F.sum(length).alias("bytes"))
     oversized = totals.filter(F.col("bytes") > cell_bytes).select(*group)
     if oversized.isEmpty():
         return _concatenated(segments, group)

@@ -27,7 +27,7 @@ def classify_files(selection: DataFrame, manifest: DataFrame) -> DataFrame:
     files = selection.filter(F.col("kind") == "file").withColumn("_hostile", is_hostile(F.col("name")))
     path = F.when(~F.col("_hostile"), resolved(F.col("name")))
     files = files.withColumn("_path", scattered(path, "job_id", "ordinal"))
-    known = manifest.select(F.col("path").alias("_path"), F.lit(True).alias("_known")).distinct()
+    known = manifest.select(F.col("path").alias("_path")).distinct().withColumn("_known", F.lit(True))
     label = F.when(F.col("_hostile"), "out_of_bounds").when(F.col("_known"), "kept").otherwise("vanished")
     joined = files.join(known, "_path", "left")
     return joined.select("job_id", "ordinal", "name", label.alias("class"))
@@ -87,8 +87,8 @@ def selection_verdict(
         .withColumn("_path", scattered(F.when(is_file & ~hostile, resolved(name)), "job_id", "name"))
         .withColumn("_table", scattered(F.when(is_table, name), "job_id", "name"))
     )
-    tables = catalog.select(F.col("name").alias("_table"), F.lit(True).alias("in_catalog")).distinct()
-    paths = manifest.select(F.col("path").alias("_path"), F.lit(True).alias("on_disk")).distinct()
+    tables = catalog.select(F.col("name").alias("_table")).distinct().withColumn("in_catalog", F.lit(True))
+    paths = manifest.select(F.col("path").alias("_path")).distinct().withColumn("on_disk", F.lit(True))
     checked = checked.join(tables, "_table", "left").join(paths, "_path", "left")
     repeated = (F.col("whole") > 1) | (F.col("bare") > 1) | (F.col("files") > 1)
     vanished = is_file & ~hostile & F.col("on_disk").isNull()

@@ -173,7 +173,7 @@ def _cut_by_blocks(numbered: DataFrame, total: int, limit: int, budget: int, blo
             {
                 "block": [block],
                 "block_group": [block // group_blocks],
-                "sizes": [lengths.astype("<i8").tobytes()],
+                "sizes": [lengths.astype("<i4").tobytes()],
                 "exits": [exits.tobytes()],
                 "counts": [counts.tobytes()],
             }
@@ -208,11 +208,9 @@ def _cut_by_blocks(numbered: DataFrame, total: int, limit: int, budget: int, blo
         at, number = starts[int(pdf["block_group"].iloc[0])]
         out = []
         for row in pdf.sort_values("block").itertuples():
-            own_rows = min(width, total - row.block * width)
             out.append((row.block, at, number))
             number += int(np.frombuffer(row.counts, "<i8")[at])
             at = int(np.frombuffer(row.exits, "<i4")[at])
-            assert own_rows > 0
         return pd.DataFrame(out, columns=["block", "entry", "first_slice"])
 
     entries = (
@@ -221,31 +219,29 @@ def _cut_by_blocks(numbered: DataFrame, total: int, limit: int, budget: int, blo
         .applyInPandas(replay_group, "block bigint, entry bigint, first_slice bigint")
     )
 
-    def replay_blocks(batches):
-        for pdf in batches:
-            for row in pdf.itertuples():
-                own_rows = min(width, total - row.block * width)
-                lengths = np.frombuffer(row.sizes, "<i8")
-                jump = _next_start(lengths, own_rows, limit, budget)
-                begins, at = [], int(row.entry)
-                while at < own_rows:
-                    begins.append(at)
-                    at = int(jump[at])
-                begin = np.array(begins, dtype=np.int64)
-                if len(begin):
-                    yield pd.DataFrame(
-                        {
-                            "slice": row.first_slice + np.arange(len(begin)),
-                            "first_rn": row.block * width + begin + 1,
-                            "last_rn": row.block * width + jump[begin],
-                        }
-                    )
+    def replay_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        own_rows = min(width, total - int(row["block"]) * width)
+        lengths = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
+        jump = _next_start(lengths, own_rows, limit, budget)
+        begins, at = [], int(row["entry"])
+        while at < own_rows:
+            begins.append(at)
+            at = int(jump[at])
+        begin = np.array(begins, dtype=np.int64)
+        return pd.DataFrame(
+            {
+                "slice": int(row["first_slice"]) + np.arange(len(begin)),
+                "first_rn": int(row["block"]) * width + begin + 1,
+                "last_rn": int(row["block"]) * width + jump[begin],
+            }
+        )
 
     cuts_path = scratch_path(spark, "slice-cuts")
     cuts_schema = "slice bigint, first_rn bigint, last_rn bigint"
-    table.select("block", "sizes").join(entries, "block").mapInPandas(replay_blocks, cuts_schema).write.parquet(
-        cuts_path
-    )
+    # Grouped by block, which the join already partitions by, so a task holds one block at a time.
+    placed = table.select("block", "sizes").join(entries, "block")
+    placed.groupBy("block").applyInPandas(replay_block, cuts_schema).write.parquet(cuts_path)
     cuts = spark.read.schema(cuts_schema).parquet(cuts_path)
     last = cuts.filter(F.col("last_rn") == total).select((F.col("last_rn") - F.col("first_rn") + 1).alias("n")).first()
     return Slices(_place_rows(numbered, cuts, total, started), started, last["n"], limit)
@@ -273,14 +269,9 @@ def _place_rows(numbered: DataFrame, cuts: DataFrame, total: int, count: int) ->
 def slice_summary(sliced: Slices, key: Sequence[str] = ()) -> DataFrame:
     """One row per slice: rows, rendered bytes, first and last key, and whether the table ends there."""
     spark = sliced.rows.sparkSession
-    ends = [F.struct(*key)] if key else []
-    aggregates = [F.count("*").alias("rows"), F.sum("row_bytes").alias("bytes")]
-    for first, last in [(F.min(e).alias("first"), F.max(e).alias("last")) for e in ends]:
-        aggregates += [first, last]
-    summary = sliced.rows.groupBy("slice").agg(*aggregates)
-    firsts = [F.col(f"first.{name}").alias(f"first_{name}") for name in key]
-    lasts = [F.col(f"last.{name}").alias(f"last_{name}") for name in key]
-    full = summary.select("slice", "rows", "bytes", *firsts, *lasts)
+    firsts = [F.min_by(name, "rn").alias(f"first_{name}") for name in key]
+    lasts = [F.max_by(name, "rn").alias(f"last_{name}") for name in key]
+    full = sliced.rows.groupBy("slice").agg(F.count("*").alias("rows"), F.sum("row_bytes").alias("bytes"), *firsts, *lasts)
     final = sliced.count if sliced.needs_empty_tail else sliced.count - 1
     if sliced.needs_empty_tail:
         tail = spark.range(1).select(

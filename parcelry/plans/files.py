@@ -200,7 +200,7 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _reassemble(spark: SparkSession, sf: str) -> DataFrame:
     parts = segments.file_parts(page_files(spark, sf), PART)
-    pieces = parts.select(F.col("path").alias("name"), F.col("offset").alias("seq"), "payload")
+    pieces = parts.select(F.col("path").alias("name"), F.col("offset").alias("seq"), "length", "payload")
     whole = segments.reassemble(pieces)
     return whole.select(
         "name", F.octet_length("payload").cast("bigint").alias("bytes"), F.md5("payload").alias("content_md5")
