@@ -56,23 +56,25 @@ def files_digest(df: DataFrame, group: str, exact_rows: int = DIGEST_ROWS) -> Da
     joined by LF. A larger set has no list that fits a task: it gets the digest of the
     digests of its blocks of 10,000 paths, and ``digest`` says which one it is.
     """
-    counted = df.groupBy(group).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    large = counted.filter(F.col("files") > exact_rows).select(group)
-    rooted = df.groupBy(group, top_root(F.col("path")).alias("root")).agg(F.count("*").alias("_n"))
-    roots = rooted.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list("root")), ",").alias("roots"))
     joined = F.expr("listagg(path, '\n') within group (order by path)")
+    counts = [F.count("*").alias("files"), F.sum("size").alias("bytes")]
+    roots = F.array_join(F.array_sort(F.collect_set(top_root(F.col("path")))), ",").alias("roots")
+    whole = [*counts, roots, F.sha2(joined, 256).alias("sha256"), F.lit("paths").alias("digest")]
+    large = df.groupBy(group).agg(*counts).filter(F.col("files") > exact_rows)
     if large.isEmpty():
-        digests = df.groupBy(group).agg(F.sha2(joined, 256).alias("sha256")).withColumn("digest", F.lit("paths"))
-    else:
-        exact = df.join(large, group, "left_anti")
-        digests = exact.groupBy(group).agg(F.sha2(joined, 256).alias("sha256")).withColumn("digest", F.lit("paths"))
-        placed = number_in_group(df.join(large, group, "left_semi").select(group, "path"), [group], ["path"], "_rn", exact_rows)
-        block = F.floor((F.col("_rn") - 1) / F.lit(DIGEST_BLOCK))
-        blocks = placed.groupBy(group, block.alias("_block")).agg(F.sha2(joined, 256).alias("_hash"))
-        chained = F.expr("listagg(_hash, '\n') within group (order by _block)")
-        blocked = blocks.groupBy(group).agg(F.sha2(chained, 256).alias("sha256")).withColumn("digest", F.lit("blocks"))
-        digests = digests.unionByName(blocked)
-    return counted.join(roots, group).join(digests, group)
+        return df.groupBy(group).agg(*whole)
+
+    # A large set is counted and rooted by mergeable aggregates and hashed block by block.
+    exact = df.join(large.select(group), group, "left_anti").groupBy(group).agg(*whole)
+    rows = df.join(large.select(group), group, "left_semi").select(group, "path", "size")
+    placed = number_in_group(rows, [group], ["path"], "_rn", exact_rows)
+    block = F.floor((F.col("_rn") - 1) / F.lit(DIGEST_BLOCK))
+    blocks = placed.groupBy(group, block.alias("_block")).agg(F.sha2(joined, 256).alias("_hash"))
+    chained = F.expr("listagg(_hash, '\n') within group (order by _block)")
+    hashes = blocks.groupBy(group).agg(F.sha2(chained, 256).alias("sha256"), F.lit("blocks").alias("digest"))
+    rooted = rows.groupBy(group, top_root(F.col("path")).alias("_root")).agg(F.count("*").alias("_n"))
+    listed = rooted.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list("_root")), ",").alias("roots"))
+    return exact.unionByName(large.join(listed, group).join(hashes, group))
 
 
 def version_pin(observations: DataFrame, group: Sequence[str] = ("path",)) -> DataFrame:

@@ -78,6 +78,15 @@ def best_rate(progress: DataFrame, seconds: int = RATE_SECONDS) -> DataFrame:
     return best.withColumn("per_second", F.col("best_units").cast("double") / F.lit(seconds))
 
 
+def rate_windows(progress: DataFrame, length: str = "10 minutes", step: str = "1 minute") -> DataFrame:
+    """Units done per sliding window; the same plan on a stream that carries a watermark.
+
+    ``progress`` has ``(series, event_time, units)``.
+    """
+    windows = progress.groupBy("series", F.window("event_time", length, step)).agg(F.sum("units").alias("units"))
+    return windows.select("series", F.col("window.start").alias("start"), "units")
+
+
 def multipart_share(attempts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Share of a run's time spent on files that needed more than one part.
 

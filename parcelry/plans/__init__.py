@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["tables", "files", "selections", "journals", "config", "runs", "streams"]
+MODULES = ["tables", "files", "selections", "journals", "config", "runs", "extraction", "streams"]
 
 
 def load_all() -> None:

@@ -82,6 +82,16 @@ def _rate(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.best_rate(units)
 
 
+@query(
+    "rate_windows",
+    f"""with {sql.JOURNAL}, seen as (select kind as series, (ts // 60) * 60 - 60 * unnest(range(10)) as start from journal)
+select series, cast(start as bigint) as start, count(*) as units from seen group by 1, 2""",
+)
+def _windows(spark: SparkSession, sf: str) -> DataFrame:
+    units = journal(spark, sf).select(F.col("kind").alias("series"), F.timestamp_seconds("ts").alias("event_time"), F.lit(1).cast("bigint").alias("units"))
+    return telemetry.rate_windows(units).withColumn("start", F.unix_seconds("start"))
+
+
 @query(
     "multipart_share",
     f"""with {sql.JOURNAL}, timed as (
