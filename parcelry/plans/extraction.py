@@ -20,11 +20,11 @@ from parcelry.plans import sql_text as sql
 from parcelry.plans.bindings import table
 from parcelry.plans.registry import query
 from parcelry.plans.tables import NUMBERED_ORDERS, ORDERS_DDL
-from parcelry.session import scratch_path
+from parcelry.session import scratch_path, scratch_scope
 from parcelry.sources.audit_log import append_audit
 from parcelry.sources.files import MANIFEST_SCHEMA, file_manifest, read_parts
 from parcelry.sources.segment_store import read_segments, write_segments
-from parcelry.sources.tables import data_header, structure_text
+from parcelry.sources.tables import data_header, structure_segments, structure_text
 
 API_VERSION = 7
 
@@ -91,13 +91,27 @@ def check(spark: SparkSession, request: Request, sources: dict[str, Source], man
 def extract(
     spark: SparkSession, request: Request, sources: dict[str, Source], path: str, root: str | None = None, log: str | None = None
 ) -> DataFrame:
-    """Publishes the selected tables, structures and files as segments below ``path``.
+    """Publishes the selected tables, structures and files as segments below ``path``."""
+    with scratch_scope(spark):
+        manifest = file_manifest(spark, root) if root and request.files else spark.createDataFrame([], MANIFEST_SCHEMA)
+        rows = check(spark, request, sources, manifest)
+        chosen = _chosen_files(rows, manifest)
+        if request.files:
+            gone = sel.classify_files(rows, manifest).filter(F.col("class") == "vanished").orderBy("ordinal")
+            request.skipped[:] = [row["name"] for row in gone.collect()]
+        pieces = _pieces(spark, request, sources, chosen, root)
+        write_segments(pieces.withColumn("artifact", F.lit(str(request.job_id))), path)
+        if log:
+            append_audit(_audit_entry(spark, request, chosen), log)
+    return read_segments(spark, path)
+
 
-    Every piece's place is known before anything is rendered: slices are counted when they are
-    cut, parts follow from file sizes. So payloads are rendered once and never renumbered.
+def _pieces(spark: SparkSession, request: Request, sources: dict[str, Source], chosen: DataFrame, root: str | None) -> DataFrame:
+    """Segments with their place in the artifact.
+
+    Every place is known before anything is rendered: slices are counted when they are cut,
+    parts follow from file sizes. So payloads are rendered once and never renumbered.
     """
-    manifest = file_manifest(spark, root) if root and request.files else spark.createDataFrame([], MANIFEST_SCHEMA)
-    rows = check(spark, request, sources, manifest)
     pieces, seq = [], 0
     for name in request.tables:
         source = sources[name]
@@ -108,20 +122,13 @@ def extract(
         parts = table_segments(sliced, name, source.rows.columns, prefix)
         pieces.append(parts.select((F.col("part") + seq).alias("seq"), "name", "payload"))
         seq += sliced.count + (1 if sliced.needs_empty_tail else 0)
-    definitions = [(seq + i, name, structure_text(name, sources[name].rows.schema)) for i, name in enumerate(request.structure_only)]
-    if definitions:
-        text = spark.createDataFrame(definitions, "seq bigint, name string, payload string")
-        pieces.append(text.withColumn("payload", F.col("payload").cast("binary")))
-    chosen = _chosen_files(rows, manifest)
+    if request.structure_only:
+        definitions = structure_segments({name: sources[name].rows for name in request.structure_only})
+        pieces.append(definitions.select((F.col("ordinal") + seq).alias("seq"), "name", "payload"))
+        seq += len(request.structure_only)
     if request.files:
-        classes = sel.classify_files(rows, manifest)
-        request.skipped[:] = [row["name"] for row in classes.filter(F.col("class") == "vanished").orderBy("ordinal").collect()]
-        pieces.append(_file_pieces(chosen, root, request.part_bytes, seq + len(definitions)))
-    segments = reduce(DataFrame.unionByName, pieces).withColumn("artifact", F.lit(str(request.job_id)))
-    write_segments(segments, path)
-    if log:
-        append_audit(_audit_entry(spark, request, chosen), log)
-    return read_segments(spark, path)
+        pieces.append(_file_pieces(chosen, root, request.part_bytes, seq))
+    return reduce(DataFrame.unionByName, pieces)
 
 
 def _chosen_files(rows: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 _local_roots: dict[str, str] = {}
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def build_session(app: str = "parcelry", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,4 +59,25 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created."""
-    return f"{scratch_root(spark).rstrip('/')}/parcelry/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/parcelry/{label}-{uuid.uuid4().hex}"
+    staged = _staged.get()
+    if staged is not None:
+        staged.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Drops what is staged inside, once the block has written its results.
+
+    A DataFrame that still reads staged rows must not leave the block.
+    """
+    paths: list[str] = []
+    token = _staged.set(paths)
+    try:
+        yield
+    finally:
+        _staged.reset(token)
+        for path in paths:
+            location = spark._jvm.org.apache.hadoop.fs.Path(path)
+            location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parcelry.operators.segments import table_segments
 from parcelry.operators.slicing import SLICE_BYTES, SLICE_ROWS, slice_table
+from parcelry.session import scratch_scope
 from parcelry.sources.tables import data_header, structure_text
 from parcelry.streaming.run import start_batches, write_batch
 
@@ -32,9 +33,10 @@ def extract_stream(
     prefix = structure_text(table, stream.schema) + data_header(table)
 
     def package(batch: DataFrame, batch_id: int) -> None:
-        sliced = slice_table(batch, key, max_rows, max_bytes)
-        head = prefix if batch_id == 0 else ""
-        write_batch(table_segments(sliced, table, columns, head), path, batch_id)
+        with scratch_scope(batch.sparkSession):
+            sliced = slice_table(batch, key, max_rows, max_bytes)
+            head = prefix if batch_id == 0 else ""
+            write_batch(table_segments(sliced, table, columns, head), path, batch_id)
 
     return start_batches(stream, package, checkpoint, trigger=trigger)
 

@@ -70,3 +70,13 @@ def test_a_lenient_request_skips_and_reports(spark, site, tmp_path):
     got = extract(spark, request, sources, str(tmp_path / "out"), root)
     assert [r["name"] for r in got.collect()] == ["a.txt"]
     assert request.skipped == ["gone"]
+
+
+def test_nothing_staged_is_left_behind(spark, site, tmp_path):
+    from parcelry.session import scratch_root
+
+    staged = os.path.join(scratch_root(spark), "parcelry")
+    before = set(os.listdir(staged)) if os.path.isdir(staged) else set()
+    root, sources = site
+    extract(spark, Request(3, ["t"], files=FILES), sources, str(tmp_path / "out"), root)
+    assert set(os.listdir(staged)) == before
