@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.operators.ordered import HOT_ROWS, running_sum_in_group
+from parcelry.operators.ordered import HOT_ROWS, find_hot, running_sum_in_group
 
 # The bounds a job starts from.
 FILE_BYTES, TABLE_BYTES, TABLE_ROWS = 256 * 1024, 4 * 1024 * 1024, 1000
@@ -38,9 +38,8 @@ def stall_budgets(
     job, order = ["job_id"], ["ts", "event_id"]
     is_attempt = F.col("kind") == "attempt"
     advance = (F.col("kind") == "advance").cast("bigint")
-    runs = running_sum_in_group(
-        events, job, order, {"run": advance, "attempts": is_attempt.cast("bigint")}, hot_rows
-    )
+    heat = find_hot(events, job, hot_rows)
+    runs = running_sum_in_group(events, job, order, {"run": advance, "attempts": is_attempt.cast("bigint")}, heat)
     first = runs.groupBy("job_id", "run").agg(F.min(F.when(is_attempt, F.col("attempts"))).alias("first_attempt"))
     placed = runs.filter(is_attempt).join(first, ["job_id", "run"])
     nth = F.col("attempts") - F.col("first_attempt") + 1
@@ -55,7 +54,7 @@ def stall_budgets(
             "tables": (spends == "table").cast("bigint"),
             "rigid": (~spends.isin("file", "table")).cast("bigint"),
         },
-        hot_rows,
+        heat,
     )
     file_room = halvings_to_floor(file_bytes)
     table_room = max(halvings_to_floor(table_bytes), halvings_to_floor(table_rows))

@@ -1,7 +1,7 @@
 """Ordered work inside groups that stays parallel when one group holds most of the rows.
 
 A window partitioned by a group sends the whole group to one task. That is right for
-ordinary groups and fatal for a hot one, so groups above ``hot_rows`` take another way:
+ordinary groups and fatal for a hot one, so groups above ``HOT_ROWS`` take another way:
 their rows are range-split by (group, order), each piece is windowed by itself, and the
 state at the piece's start is carried in from the pieces before it. Both ways give the
 same rows.
@@ -10,37 +10,50 @@ same rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelry.operators.numbering import stage_sorted
 
 HOT_ROWS = 2_000_000
 
 
+@dataclass(frozen=True)
+class HotGroups:
+    """Groups above the limit. There are at most (rows / limit), which bounds collect and broadcast."""
+
+    found: list[Row]
+    schema: T.StructType
+
+
+def find_hot(df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS) -> HotGroups:
+    """Counts groups map-side. The result also serves any frame with no more rows per group."""
+    hot = df.groupBy(*group).count().filter(F.col("count") > hot_rows).drop("count")
+    return HotGroups(hot.collect(), hot.schema)
+
+
 def _by_heat(
     df: DataFrame,
     group: Sequence[str],
-    hot_rows: int,
+    heat: int | HotGroups,
     usual: Callable[[DataFrame], DataFrame],
     split: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     if not group:
         return split(df)
-    # At most (rows / hot_rows) groups can be hot, which bounds both the collect and the broadcast.
-    hot = df.groupBy(*group).count().filter(F.col("count") > hot_rows).drop("count")
-    found = hot.collect()
-    if not found:
+    hot = heat if isinstance(heat, HotGroups) else find_hot(df, group, heat)
+    if not hot.found:
         return usual(df)
-    listed = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
-    match = [df[name].eqNullSafe(listed[name]) for name in group]
-    condition = match[0]
-    for other in match[1:]:
-        condition = condition & other
+    listed = F.broadcast(df.sparkSession.createDataFrame(hot.found, hot.schema))
+    condition = F.lit(True)
+    for name in group:
+        condition = condition & df[name].eqNullSafe(listed[name])
     cold_rows = df.join(listed, condition, "left_anti")
-    hot_rows_df = df.join(listed, condition, "left_semi")
-    return usual(cold_rows).unionByName(split(hot_rows_df))
+    hot_rows = df.join(listed, condition, "left_semi")
+    return usual(cold_rows).unionByName(split(hot_rows))
 
 
 def _with_carry(rows: DataFrame, group: Sequence[str], carry: DataFrame) -> DataFrame:
@@ -69,7 +82,7 @@ def _carry(staged_rows: DataFrame, group: Sequence[str], summary: Column, carrie
 
 
 def number_in_group(
-    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str, heat: int | HotGroups = HOT_ROWS
 ) -> DataFrame:
     """1-based position of every row in its group."""
 
@@ -89,7 +102,7 @@ def number_in_group(
         joined = numbered.join(F.broadcast(starts), condition)  # one row per hot group
         return joined.withColumn(name, F.col(name) - F.col("_start") + 1).select(*df.columns, name)
 
-    return _by_heat(df, group, hot_rows, usual, split)
+    return _by_heat(df, group, heat, usual, split)
 
 
 def running_sum_in_group(
@@ -97,7 +110,7 @@ def running_sum_in_group(
     group: Sequence[str],
     order: Sequence[str | Column],
     sums: dict[str, Column],
-    hot_rows: int = HOT_ROWS,
+    heat: int | HotGroups = HOT_ROWS,
 ) -> DataFrame:
     """Adds running totals, current row included, of integer expressions along the order."""
 
@@ -125,7 +138,7 @@ def running_sum_in_group(
         ]
         return joined.select(*df.columns, *outputs)
 
-    return _by_heat(df, group, hot_rows, usual, split)
+    return _by_heat(df, group, heat, usual, split)
 
 
 def previous_in_group(
@@ -133,7 +146,7 @@ def previous_in_group(
     group: Sequence[str],
     order: Sequence[str | Column],
     columns: dict[str, str],
-    hot_rows: int = HOT_ROWS,
+    heat: int | HotGroups = HOT_ROWS,
 ) -> DataFrame:
     """Adds the previous row's values (``new name -> column``); reverse the order to look ahead."""
     packed = F.struct(*[F.col(source).alias(target) for target, source in columns.items()])
@@ -157,4 +170,4 @@ def previous_in_group(
         ]
         return joined.select(*df.columns, *outputs)
 
-    return _by_heat(df, group, hot_rows, usual, split)
+    return _by_heat(df, group, heat, usual, split)

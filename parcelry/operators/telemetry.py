@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelry.operators.ordered import HOT_ROWS, previous_in_group
+from parcelry.operators.ordered import HOT_ROWS, find_hot, previous_in_group
 
 # The phases a chunk is timed in; ``total`` spans the chunk.
 PHASES = ["open", "resume", "resolve", "read", "seal", "suspend", "save"]
@@ -44,7 +44,8 @@ def pause_share(samples: DataFrame, pause: int = PAUSE_SECONDS, hot_rows: int =
     the gaps at either end.
     """
     order = ["epoch", "sample_id"]
-    moved = previous_in_group(samples, ["series"], order, {"before": "chunks_done"}, hot_rows)
+    heat = find_hot(samples, ["series"], hot_rows)
+    moved = previous_in_group(samples, ["series"], order, {"before": "chunks_done"}, heat)
     ends = samples.groupBy("series").agg(F.min("epoch").alias("first"), F.max("epoch").alias("last"))
     marks = moved.filter(F.col("before").isNull() | (F.col("chunks_done") > F.col("before"))).select(
         "series", "epoch", "sample_id"
@@ -52,7 +53,7 @@ def pause_share(samples: DataFrame, pause: int = PAUSE_SECONDS, hot_rows: int =
     tail = ends.select("series", F.col("last").alias("epoch"), F.lit(None).cast("bigint").alias("sample_id"))
     # The closing mark sorts after every real one of the same second.
     closing = [F.col("epoch"), F.col("sample_id").asc_nulls_last()]
-    gaps = previous_in_group(marks.unionByName(tail), ["series"], closing, {"since": "epoch"}, hot_rows)
+    gaps = previous_in_group(marks.unionByName(tail), ["series"], closing, {"since": "epoch"}, heat)
     gap = F.col("epoch") - F.col("since")
     paused = gaps.groupBy("series").agg(
         F.coalesce(F.sum(F.when(gap >= pause, gap)), F.lit(0)).alias("paused_s")
