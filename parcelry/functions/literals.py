@@ -55,3 +55,23 @@ def row_tuple(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     fields = [field for field in df.schema.fields if columns is None or field.name in columns]
     literals = [_field_literal(field) for field in fields]
     return F.concat(F.lit("("), F.concat_ws(",", *literals), F.lit(")"))
+
+
+STAMP_BYTES = 26  # yyyy-MM-dd HH:mm:ss.SSSSSS
+
+
+def row_size(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """Bytes of ``row_tuple`` without building it."""
+    fields = [field for field in df.schema.fields if columns is None or field.name in columns]
+    total = F.lit(1 + len(fields))  # the parentheses, and commas between the fields
+    for field in fields:
+        total = total + _literal_size(field)
+    return total.cast("bigint")
+
+
+def _literal_size(field: T.StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+        written = F.octet_length(_field_literal(field))
+        return F.when(column.isNull(), 4).when(F.year(column).between(0, 9999), STAMP_BYTES + 2).otherwise(written)
+    return F.octet_length(_field_literal(field))

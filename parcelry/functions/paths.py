@@ -44,7 +44,7 @@ def forward_slashes(path: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_extract(F.rtrim(path, F.lit("/")), r"(?s)[^/]*$", 0)
+    return F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
 
 
 def top_root(path: Column) -> Column:

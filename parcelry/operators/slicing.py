@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.functions.literals import ROWS_PER_INSERT, row_tuple
+from parcelry.functions.literals import ROWS_PER_INSERT, row_size
 from parcelry.operators.numbering import number_keyed, number_rows
 from parcelry.session import scratch_path
 
@@ -70,7 +70,7 @@ def slice_table(
     """
     if not key and not order:
         raise ValueError("a table without a key needs an explicit order")
-    size = (F.octet_length(row_tuple(df)) + 1 if size is None else size).cast("bigint")
+    size = (row_size(df) + 1 if size is None else size).cast("bigint")
     derive = {"row_bytes": size}
     if keep is not None:
         df, derive = _measured(df, keep, size), {}

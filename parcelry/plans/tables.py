@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelry.functions.literals import row_tuple, sql_literal
+from parcelry.functions.literals import row_size, row_tuple, sql_literal
 from parcelry.functions.scalars import bounded_message, to_integer
 from parcelry.operators import paging, segments, slicing
 from parcelry.operators.numbering import number_stored
@@ -132,7 +132,7 @@ select l_orderkey, l_partkey, l_suppkey, l_linenumber, rn // 700 as slice, rn %
 def _slice_keyless(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     numbered, total = number_stored(lines)
-    sized = numbered.withColumn("row_bytes", F.octet_length(row_tuple(lines)).cast("bigint") + 1)
+    sized = numbered.withColumn("row_bytes", row_size(lines) + 1)
     sliced = slicing.cut_slices(sized, total, 750, slicing.SLICE_BYTES)
     return sliced.rows.select(*LINE_COLUMNS[:4], "slice", "row_in_slice")
 

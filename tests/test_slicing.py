@@ -230,7 +230,11 @@ def test_numbers_follow_descending_order(spark):
 
 
 def test_sizes_are_rendered_bytes(spark):
-    df = keyed(spark, 50)
+    odd = "cast(if(id % 3 = 0, null, {}) as {}) as {}"
+    df = keyed(spark, 50).selectExpr(
+        "*", odd.format("id * 1.5 - 20", "double", "d"), odd.format("'2024-01-02 03:04:05.6'", "timestamp", "t"),
+        odd.format("'2024-01-02'", "date", "day"), odd.format("id > 5", "boolean", "b"), odd.format("note", "binary", "raw"),
+    )
     rows = slice_table(df, ["id"], 100).rows
     wrong = rows.filter(F.col("row_bytes") != F.octet_length(row_tuple(df)) + 1)
     assert wrong.count() == 0
