@@ -49,11 +49,12 @@ def page_offset(df: DataFrame, skip: int, n: int) -> DataFrame:
         if before + row["n"] > skip:
             wanted.append((row["_file"], max(0, skip - before), min(row["n"], skip + n - before)))
         before += row["n"]
-    positioned = with_file_order(df)
     inside = F.lit(False)
     for path, low, high in wanted:
         inside = inside | ((F.col("_file") == path) & (F.col("_row") >= low) & (F.col("_row") < high))
-    return positioned.filter(inside).select(*df.columns)
+    # The bare file condition prunes the listing; the row condition works inside the files.
+    touched = df.filter(F.col("_metadata.file_path").isin([path for path, *_ in wanted]))
+    return with_file_order(touched).filter(inside).select(*df.columns)
 
 
 def page_offset_by(df: DataFrame, order: Sequence[str | Column], skip: int, n: int) -> DataFrame:

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def unix(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / 1000000).cast("bigint")
+    return F.unix_seconds(ts.cast("timestamp"))
 
 
 def page_path(url: Column) -> Column:
@@ -44,10 +44,9 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf: str, name: str, **options: str) -> DataFrame:
-    """The table's files as a stream."""
+    """The table's files as a stream; the pattern lets it be one file or a folder of them."""
     schema = table(spark, sf, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    return reader.options(**options).parquet(sf)
+    return spark.readStream.schema(schema).options(**options).parquet(f"{sf}/{name}.parquet*")
 
 
 def journal(spark: SparkSession, sf: str) -> DataFrame:
