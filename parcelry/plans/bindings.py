@@ -46,7 +46,8 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
 def table_stream(spark: SparkSession, sf: str, name: str, **options: str) -> DataFrame:
     """The table's files as a stream; the pattern lets it be one file or a folder of them."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).options(**options).parquet(f"{sf}/{name}.parquet*")
+    bounded = {"maxFilesPerTrigger": "64", **options}
+    return spark.readStream.schema(schema).options(**bounded).parquet(f"{sf}/{name}.parquet*")
 
 
 def journal(spark: SparkSession, sf: str) -> DataFrame:

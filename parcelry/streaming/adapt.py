@@ -4,18 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from parcelry.operators.budgets import FILE_BYTES, TABLE_BYTES, TABLE_ROWS
+from parcelry.operators.budgets import FILE_BYTES, TABLE_BYTES, TABLE_ROWS, halvings_to_floor
 from parcelry.streaming.run import start_batches, write_batch
 
 ADVICE_SCHEMA = "job_id bigint, file_bytes bigint, table_bytes bigint, table_rows bigint, failed boolean"
 STATE_SCHEMA = "fruitless int, file_bytes bigint, table_bytes bigint, table_rows bigint, failed boolean"
 
 
+# What a journal row does to the counter, as one small number per row.
+ADVANCE, FILE, TABLE, RIGID = 0, 1, 2, 3
+
+
+def count_stalls(codes: np.ndarray, carried: int, max_attempts: int) -> tuple[np.ndarray, int]:
+    """Bounds spent by the stalls among ordered steps, and the attempts left on the counter.
+
+    An attempt stalls when its run already used up the counter, that is at every
+    ``max_attempts``-th attempt after the first; the first run goes on where the last batch ended.
+    """
+    advance = codes == ADVANCE
+    attempts = np.cumsum(~advance)
+    before_run = np.maximum.accumulate(np.where(advance, attempts, 0))
+    first_run = np.cumsum(advance) == 0
+    nth = attempts - before_run + np.where(first_run, carried, 0)
+    stalled = ~advance & (nth > max_attempts) & ((nth - 1) % max_attempts == 0)
+    last = int(nth[-1])
+    return codes[stalled], (last - 1) % max_attempts + 1 if last else 0
+
+
 class BudgetAdviser(StatefulProcessor):
     """Halves what a job's stalled attempts spend; fails the job when nothing can shrink."""
 
@@ -30,25 +51,21 @@ class BudgetAdviser(StatefulProcessor):
         fruitless, file_bytes, table_bytes, table_rows, failed = (
             self.budgets.get() if self.budgets.exists() else self.start
         )
-        # One job's rows of one micro-batch, which the trigger's file limit bounds.
-        events = pd.concat([pdf[["ts", "event_id", "kind", "spends"]] for pdf in rows])
-        for event in events.sort_values(["ts", "event_id"]).itertuples():
-            if failed:
-                break
-            if event.kind == "advance":
-                fruitless = 0
-                continue
-            if fruitless >= self.max_attempts:
-                if event.spends == "file" and file_bytes > 1:
-                    file_bytes //= 2
-                elif event.spends == "table" and max(table_bytes, table_rows) > 1:
-                    table_bytes, table_rows = max(1, table_bytes // 2), max(1, table_rows // 2)
-                else:
-                    failed = True
-                    break
-                fruitless = 0
-            fruitless += 1
-        self.budgets.update((int(fruitless), int(file_bytes), int(table_bytes), int(table_rows), bool(failed)))
+        # One job's steps of one micro-batch: three numbers a row, bounded by the trigger's file limit.
+        steps = pd.concat([pdf[["ts", "event_id", "code"]] for pdf in rows])
+        if not failed:
+            ordered = steps["code"].to_numpy()[np.lexsort((steps["event_id"], steps["ts"]))]
+            spent, fruitless = count_stalls(ordered, fruitless, self.max_attempts)
+            files, tables = np.cumsum(spent == FILE), np.cumsum(spent == TABLE)
+            table_room = max(halvings_to_floor(table_bytes), halvings_to_floor(table_rows))
+            broken = (spent == RIGID) | (files > halvings_to_floor(file_bytes)) | (tables > table_room)
+            failed = bool(broken.any())
+            usable = int(np.argmax(broken)) if failed else len(spent)
+            if usable:
+                file_bytes >>= int(files[usable - 1])
+                table_bytes = max(1, table_bytes >> int(tables[usable - 1]))
+                table_rows = max(1, table_rows >> int(tables[usable - 1]))
+        self.budgets.update((int(fruitless), int(file_bytes), int(table_bytes), int(table_rows), failed))
         yield pd.DataFrame(
             [(key[0], file_bytes, table_bytes, table_rows, failed)],
             columns=["job_id", "file_bytes", "table_bytes", "table_rows", "failed"],
@@ -66,7 +83,10 @@ def advise(
     max_attempts: int = 2,
 ) -> DataFrame:
     """Streaming twin of the batch budgets; one row per job and micro-batch."""
-    steps = events.filter(F.col("kind").isin("attempt", "advance"))
+    spends = F.col("spends")
+    attempt = F.when(spends == "file", FILE).when(spends == "table", TABLE).otherwise(RIGID)
+    code = F.when(F.col("kind") == "advance", ADVANCE).otherwise(attempt).cast("byte")
+    steps = events.filter(F.col("kind").isin("attempt", "advance")).select("job_id", "ts", "event_id", code.alias("code"))
     return steps.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=BudgetAdviser(file_bytes, table_bytes, table_rows, max_attempts),
         outputStructType=ADVICE_SCHEMA,

@@ -86,6 +86,30 @@ def test_advice_carries_over_restarts(spark, tmp_path):
     assert got == want
 
 
+def test_stalls_are_counted_like_the_replay():
+    import random
+
+    import numpy as np
+
+    from parcelry.streaming.adapt import ADVANCE, count_stalls
+
+    rng = random.Random(4)
+    for _ in range(300):
+        limit, counter = rng.randint(1, 4), 0
+        carried = counter = rng.randint(0, limit)
+        codes, want = [rng.choice([0, 1, 1, 2, 2, 3]) for _ in range(rng.randint(1, 25))], []
+        for code in codes:
+            if code == ADVANCE:
+                counter = 0
+                continue
+            if counter >= limit:
+                want.append(code)
+                counter = 0
+            counter += 1
+        spent, left = count_stalls(np.array(codes, dtype=np.int8), carried, limit)
+        assert (list(spent), left) == (want, counter)
+
+
 EVENTS = "job_id bigint, ts bigint, event_id bigint, kind string, state string"
 BASE = 1_700_000_000
 
