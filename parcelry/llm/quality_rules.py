@@ -128,10 +128,9 @@ RULES = {
     "length": ("n_words < 20", "n_words >= 100"),
     "word_length": ("n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 12 * n_words)", "word_chars BETWEEN 3 * n_words AND 9 * n_words"),
     "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
-    "lines": ("n_lines > 1 AND 10 * n_dup_lines > 3 * n_lines", "n_lines > 3 AND 20 * n_dup_lines <= n_lines"),
-    "repeats": ("10 * n_repeat_words > 3 * n_words", "n_words >= 20 AND 20 * n_repeat_words <= n_words"),
-    "capitals": ("2 * n_upper > n_letters AND n_words > 3", "5 * n_upper <= n_letters"),
-    "marks": ("5 * n_marks > n_words AND n_words > 3", "50 * n_marks <= n_words"),
+    "lines": ("n_lines > 3 AND 2 * n_dup_lines > n_lines", "n_lines > 3 AND 20 * n_dup_lines <= n_lines"),
+    "repeats": ("10 * n_repeat_words > 4 * n_words", "n_words >= 20 AND 5 * n_repeat_words <= n_words"),
+    "shouting": ("n_words > 3 AND (2 * n_upper > n_letters OR 5 * n_marks > n_words)", "5 * n_upper <= n_letters AND 50 * n_marks <= n_words"),
 }
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
@@ -151,35 +150,37 @@ def pattern(prefix: str = "") -> Column:
 
 
 class Weights:
-    """The share of good documents and, for each rule, the chance of each vote given good or bad."""
+    """The share of good documents and, for each rule, how likely its vote is bad when it votes, by class.
+
+    An abstention says nothing. Documents are taken to be bad in few ways at a time: to most rules a bad
+    document looks good, so before any is seen a vote for bad weighs far more than one for good.
+    """
 
     def __init__(self, rules: int) -> None:
         self.good = 0.7
-        #: By class (bad, good), rule and vote (BAD, ABSTAIN, GOOD).
-        self.chance = np.tile(np.array([[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]])[:, None, :], (1, rules, 1))
+        self.says_bad = np.tile(np.array([[0.3], [FALSE_ALARMS]]), (1, rules))
 
     def posterior(self, cast: np.ndarray) -> np.ndarray:
         """The chance that each row of votes is of a good document."""
-        rules = np.arange(cast.shape[1])
-        logs = [np.log(self.chance[c][rules, cast]).sum(axis=1) for c in (0, 1)]
+        logs = [((cast == BAD) * np.log(p) + (cast == GOOD) * np.log1p(-p)).sum(axis=1) for p in self.says_bad]
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log((1 - self.good) / self.good), -700, 700)))
 
     def accuracy(self) -> np.ndarray:
-        """Each rule's chance to be right when it votes, weighed by class."""
-        share = np.array([1 - self.good, self.good])
-        right = share[0] * self.chance[0, :, BAD] + share[1] * self.chance[1, :, GOOD]
-        return right / (right + share[0] * self.chance[0, :, GOOD] + share[1] * self.chance[1, :, BAD])
+        """Each rule's chance to be right when it votes."""
+        return (1 - self.good) * self.says_bad[0] + self.good * (1 - self.says_bad[1])
 
 
-#: What is believed of a rule before any document is seen, as so many votes. It keeps the two classes from
-#: changing places and decides when there are few documents.
+#: What is believed of a rule before any document is seen, as so many votes; it decides when there are few documents.
 PRIOR_VOTES = 5.0
+#: Bars are set so far out that a rule votes bad on at most this share of good documents. Without that bound the
+#: fit may spend its second class on the commonest kind of junk and count all other kinds as good.
+FALSE_ALARMS = 0.005
 
 
 def fitted(counts: dict[int, int], rules: int, rounds: int = 200, close: float = 1e-9) -> Weights:
     """Expectation-maximisation over the counts of vote patterns."""
     weights = Weights(rules)
-    first = weights.chance.copy()
+    first = weights.says_bad.copy()
     if not counts:
         return weights
     codes = np.array(sorted(counts), dtype=np.int64)
@@ -187,14 +188,14 @@ def fitted(counts: dict[int, int], rules: int, rounds: int = 200, close: float =
     cast = codes[:, None] // 3 ** np.arange(rules) % 3
     for _ in range(rounds):
         good = weights.posterior(cast)
-        chance = first * PRIOR_VOTES
+        says_bad = first.copy()
         for c, share in enumerate((n * (1 - good), n * good)):
-            for vote in range(3):
-                chance[c, :, vote] += (share[:, None] * (cast == vote)).sum(axis=0)
-        chance /= chance.sum(axis=2, keepdims=True)
-        share = ((n * good).sum() + 0.7 * PRIOR_VOTES) / (n.sum() + PRIOR_VOTES)
-        moved = max(abs(share - weights.good), np.abs(chance - weights.chance).max())
-        weights.chance, weights.good = chance, float(share)
+            bad, voted = ((share[:, None] * (cast == BAD)).sum(axis=0), (share[:, None] * (cast != ABSTAIN)).sum(axis=0))
+            says_bad[c] = (bad + first[c] * PRIOR_VOTES) / (voted + PRIOR_VOTES)
+        says_bad[1] = np.minimum(says_bad[1], FALSE_ALARMS)
+        share = float(((n * good).sum() + 0.7 * PRIOR_VOTES) / (n.sum() + PRIOR_VOTES))
+        moved = max(abs(share - weights.good), np.abs(says_bad - weights.says_bad).max())
+        weights.says_bad, weights.good = says_bad, share
         if moved < close:
             break
     return weights
