@@ -26,7 +26,6 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage(large, label)
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(near, "u")
         edges = stage(

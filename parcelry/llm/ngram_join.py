@@ -15,8 +15,9 @@ deleting one shingle on either side); if the slacks plus one sum to H + 1, no pa
   verification and connected components, only subsets whose members lie in different components need
   more work, and only for pairs across components. A group of near copies costs its size, not its square.
 - **Allocation.** A set whose remaining subsets are crowded trades them, dearest first, for slack 1 on
-  the cheapest of its segments that carry neighbourhoods, while that costs fewer candidates. Costs are
-  counts from the index. What cannot be traded is paired as it is: nothing is capped.
+  the cheapest of its segments that carry neighbourhoods, while that is not crowded too. Costs are counts
+  from the index. Nothing is capped: subsets that stay crowded are joined by how their members differ from
+  one of them (``crowd_links``), which is exact and costs the crowd's size.
 - **Verification** intersects whole sets of 64-bit shingle hashes.
 
 Equal sets are one node throughout. Results by case: a null or blank text has an empty set and links
@@ -246,11 +247,58 @@ def ngram_links(docs: DataFrame, reps: DataFrame, width: int, threshold: int) ->
     )
     if open_rows.isEmpty():
         return links
-    probes = allocated(index, open_rows, threshold)
-    a = probes.select("key", "kind", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+    probes = stage(allocated(index, open_rows, threshold), "ngram-probes")
+    crowd = f"kind = 'equal' AND cost > {CROWDED}"
+    a = probes.where(f"NOT ({crowd})").select("key", "kind", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
     b = index.select("key", (F.col("place").bitwiseAND(DELETED) != 0).alias("kind_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    more = a.join(b, "key").where("a < b AND c_a <> c_b AND (kind = 'equal' AND NOT kind_b OR kind = 'near' AND kind_b OR kind = 'less' AND NOT kind_b)")
-    return links.unionByName(_checked(docs, more, width, threshold))
+    fits = "(kind = 'equal' AND NOT kind_b OR kind = 'near' AND kind_b OR kind = 'less' AND NOT kind_b)"
+    more = a.join(b, "key").where(f"a <> b AND c_a <> c_b AND {fits}").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b"
+    )
+    links = stage(links.unionByName(_checked(docs, more, width, threshold)), "ngram-links")
+    crowds = open_rows.join(probes.where(crowd).select("key").distinct(), "key", "left_semi").select("key", "rep", "n")
+    return crowd_links(docs, stage(crowds, "ngram-crowds"), links, width, threshold)
+
+
+def crowd_links(docs: DataFrame, crowds: DataFrame, links: DataFrame, width: int, threshold: int) -> DataFrame:
+    """``links`` with those between members of crowded subsets (key, rep, n) added, without pairing the members.
+
+    Crowded subsets that share members form a group, and every member is described by how it differs from the
+    group's first member, its root: as the difference of two sets is that of their differences from any third,
+    x_R + x_S - 2 * overlap = |R ^ S|. A pair with x_R + x_S <= H is linked to the root on both sides. Any other
+    linked pair, R the one farther from the root, shares a difference among the first H + 1 of R and the first
+    H / 2 + 1 of S, in one order of all shingles. What a member adds to the root comes first in that order, being
+    rarer than what it lacks. So a group costs H rows a member.
+    """
+    if crowds.isEmpty():
+        return links
+    tops = crowds.groupBy("key").agg(F.min("rep").alias("a"))
+    star = crowds.join(tops, "key").select("a", F.col("rep").alias("b")).distinct()
+    groups = stage(components(star, "ngram-groups").toDF("rep", "root"), "ngram-groups")
+    sets = stage(shingle_arrays(chosen(docs, groups.select("rep")), width), "ngram-sets")
+    own = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("s"))
+    of_root = sets.select(F.col("doc_id").alias("root"), F.col("shingles").alias("t"))
+    apart = F.concat(F.array_sort(F.array_except("s", "t")), F.array_sort(F.array_except("t", "s")))
+    reach = F.floor((F.col("n") + F.floor(F.col("n") * 100 / threshold)) * (100 - threshold) / (100 + threshold)).cast("int")
+    deltas = stage(
+        groups.join(own, "rep").join(of_root, "root")
+        .select("root", "rep", F.size("s").alias("n"), F.size("t").alias("n_root"), apart.alias("apart"))
+        .select("root", "rep", "n", "n_root", F.size("apart").alias("x"), F.slice("apart", F.lit(1), reach + 1).alias("first"), reach.alias("reach")),
+        "ngram-deltas",
+    )
+    differ = f"* {100 + threshold} <= {100 - threshold} *"
+    links = stage(links.unionByName(deltas.where(f"rep <> root AND x {differ} (n + n_root)").select(F.col("root").alias("a"), F.col("rep").alias("b"))), "ngram-links")
+    found = components(links, "ngram-components").toDF("rep", "component")
+    rows = stage(
+        deltas.join(found, "rep", "left")
+        .select("root", "rep", "n", "x", "reach", F.coalesce("component", "rep").alias("component"), F.posexplode("first").alias("at", "shingle")),
+        "ngram-differences",
+    )
+    far = rows.select("root", "shingle", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("x").alias("x_a"), F.col("component").alias("c_a"))
+    near = rows.where("at <= reach DIV 2").select("root", "shingle", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("x").alias("x_b"), F.col("component").alias("c_b"))
+    pairs = far.join(near, ["root", "shingle"]).where(f"c_a <> c_b AND x_a >= x_b AND (x_a - x_b) {differ} (n_a + n_b)")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b")
+    return links.unionByName(_checked(docs, pairs, width, threshold))
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -263,8 +311,8 @@ def allocated(index: DataFrame, open_rows: DataFrame, threshold: int) -> DataFra
     """(key, rep, n, component, kind) to look up: ``equal`` subsets, and for slack 1 a set's subset (``near``)
     against neighbourhoods and its own neighbourhoods (``less``) against subsets.
 
-    The dearest crowded subset of a set is traded for its cheapest slack, the next for the next, while the
-    subset has more candidates than the slack. Segments whose keys nobody shares give slack for nothing.
+    The dearest crowded subset of a set is traded for its cheapest slack, the next for the next, while that
+    slack is not crowded itself. Segments whose keys nobody shares give slack for nothing.
     """
     band = F.shiftright("place", 25)
     segment = F.col("place").bitwiseAND(DELETED - 1)
@@ -297,13 +345,13 @@ def allocated(index: DataFrame, open_rows: DataFrame, threshold: int) -> DataFra
         .withColumn("rank", F.col("order") - (zones - F.coalesce("taken", F.lit(0))))
     )
     trades = stage(
-        asks.join(offers, ["rep", "level", "rank"], "left").where("rank <= 0 OR cost > slack_cost").select("rep", "level", "key", "segment"),
+        asks.join(offers, ["rep", "level", "rank"], "left").where(f"rank <= 0 OR slack_cost <= {CROWDED}").select("rep", "level", "key", "segment"),
         "ngram-trades",
     )
-    equal = open_rows.join(trades.select("rep", "key"), ["rep", "key"], "left_anti").select("key", "rep", "n", "component", F.lit("equal").alias("kind"))
+    equal = open_rows.join(trades.select("rep", "key"), ["rep", "key"], "left_anti").select("key", "rep", "n", "component", F.lit("equal").alias("kind"), "cost")
     lifted = zoned.join(trades.where("segment IS NOT NULL").select("rep", "level", "segment").distinct(), ["rep", "level", "segment"])
     kind = F.when(F.col("place").bitwiseAND(DELETED) == 0, "near").otherwise("less")
-    return equal.unionByName(lifted.select("key", "rep", "n", "component", kind.alias("kind")))
+    return equal.unionByName(lifted.select("key", "rep", "n", "component", kind.alias("kind"), F.lit(0).cast("long").alias("cost")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:

@@ -2,7 +2,7 @@
 
 All hashes are fixed functions of the bytes, equal on every machine. A span's hash is a polynomial
 in a fixed odd base over a table of random 64-bit values, taken from running sums, then mixed.
-Memory is about 60 bytes for each byte of a piece; a piece is about a megabyte, or one longer text.
+Memory is about 60 bytes for each byte of a piece; a piece is about half a megabyte, or one longer text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 from parcelry.llm.common import SPACE_BYTES
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 U = np.uint64
 
 
