@@ -52,7 +52,7 @@ def bands(threshold: int, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray,
     """Smallest size of each band, its number of segments, and how many of those carry neighbourhoods."""
     starts = [1]
     while starts[-1] < most:
-        starts.append(max(starts[-1] + 1, -(-starts[-1] * 10_000 // threshold**2)))
+        starts.append(max(starts[-1] + 1, starts[-1] * 9 // 8, -(-starts[-1] * 10_000 // threshold**2)))
     lows = np.array(starts, dtype=np.int64)
     highest = lows[1:] - 1
     segments = (100 - threshold) * 2 * highest // (100 + threshold) + 1
