@@ -81,10 +81,11 @@ def depths(calls: DataFrame) -> DataFrame:
     known = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("after").alias("after"))
     ids = known.select(F.col("call_id").alias("_parent"))
     # A pointer is null once the call has reached its root; until then depth counts the steps it stands for.
-    state = stage(
-        known.join(ids, F.col("after") == F.col("_parent"), "left").select("call_id", F.col("_parent").alias("up"), F.col("_parent").isNotNull().cast("long").alias("depth")),
-        "call-depths",
-    )
+    # Calls that need none are left out of the join: their null keys would all meet in one task.
+    below = known.where("after IS NOT NULL").join(ids, F.col("after") == F.col("_parent"), "left")
+    roots = known.where("after IS NULL").select("call_id", F.lit(None).cast("string").alias("_parent"))
+    placed = below.select("call_id", "_parent").unionByName(roots)
+    state = stage(placed.select("call_id", F.col("_parent").alias("up"), F.col("_parent").isNotNull().cast("long").alias("depth")), "call-depths")
     climbing, longest = state.where("up IS NOT NULL").count(), known.count()
     reach = 1
     while climbing and reach < 2 * longest:
