@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import duckdb
 import pandas as pd
 from pyspark.sql import SparkSession
 
-from parcelry.plans.bindings import TABLES
-from parcelry.plans.registry import ORACLES, QUERIES
+from parcelry.plans.registry import Query
 
 
-def sql_rows(sf: str, name: str) -> pd.DataFrame:
+def sql_rows(sf: str, sql: str) -> pd.DataFrame:
+    """The rows of ``sql`` over every table of a folder."""
     con = duckdb.connect()
-    for table in TABLES:
-        con.execute(f"create view {table} as select * from read_parquet('{sf}/{table}.parquet')")
-    return con.execute(ORACLES[name]).fetch_df()
+    for file in sorted(Path(sf).glob("*.parquet")):
+        con.execute(f"create view {file.stem} as select * from read_parquet('{file}')")
+    return con.execute(sql).fetch_df()
 
 
 def normal(df: pd.DataFrame) -> list[tuple]:
@@ -30,9 +32,9 @@ def _cell(value: object) -> str:
     return str(value)
 
 
-def differences(spark: SparkSession, sf: str, name: str) -> list[str]:
-    """Empty when the query and its SQL agree on columns and rows."""
-    got, want = QUERIES[name](spark, sf).toPandas(), sql_rows(sf, name)
+def differences(spark: SparkSession, sf: str, run: Query, sql: str) -> list[str]:
+    """Empty when a query and its SQL agree on columns and rows."""
+    got, want = run(spark, sf).toPandas(), sql_rows(sf, sql)
     if sorted(got.columns) != sorted(want.columns):
         return [f"columns {sorted(got.columns)} != {sorted(want.columns)}"]
     left, right = normal(got), normal(want)
