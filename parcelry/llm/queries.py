@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelry.llm import byte_bpe, compression, exact_dedup, mixing, ngram_join, quality_rules, token_files, tool_calls, warc, word_language
+from parcelry.llm import byte_bpe, compression, exact_dedup, merkle, merkle_sql, mixing, ngram_join, quality_rules, token_files, tool_calls, warc, word_language
 from parcelry.session import use_utc
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -66,11 +66,17 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed_copies(table(spark, sf, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = merkle.proofs(merkle.manifest(docs, merkle.lowered_text(docs)), whole=False)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_warc, op3_compression, op4_weak_supervision, op5_tree_merge, op6_word_language, op7_byte_bpe,
-        op8_tool_calls, op9_token_files, op10_mixing,
+        op8_tool_calls, op9_token_files, op10_mixing, op13_merkle,
     )
 }
 
@@ -87,4 +93,5 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    "op13_merkle": merkle_sql.text(),
 }
