@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelry.llm import byte_bpe, compression, exact_dedup, merkle, merkle_sql, mixing, ngram_join, quality_rules, token_alignment, token_files, tool_calls, warc, word_language
+from parcelry.llm import byte_bpe, compression, cross_polytope, exact_dedup, merkle, merkle_sql, mixing, ngram_join, quality_rules, token_alignment, token_files, tool_calls, warc, word_language
 from parcelry.session import use_utc
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -71,6 +71,11 @@ def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return token_alignment.aligned_documents(table(spark, sf, "documents"), TOKENIZER_FILE, PIECE_FILE)
 
 
+def op12_cross_polytope(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return cross_polytope.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     found = merkle.proofs(merkle.manifest(docs, merkle.lowered_text(docs)), whole=False)
@@ -81,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_warc, op3_compression, op4_weak_supervision, op5_tree_merge, op6_word_language, op7_byte_bpe,
-        op8_tool_calls, op9_token_files, op10_mixing, op11_token_alignment, op13_merkle,
+        op8_tool_calls, op9_token_files, op10_mixing, op11_token_alignment, op12_cross_polytope, op13_merkle,
     )
 }
 
