@@ -9,7 +9,9 @@ with the most probability over all its words, by their lengths.
 The fit is bounded: about ``FIT_DOCS`` documents of each language, drawn by a hash of doc_id from all rows
 that may be learnt from, and of each ``FIT_CHAINS`` chains of up to ``CHAIN`` words spread over its length.
 A fourth of the chains are spliced from two languages, so that transitions see switches. Features are hashed
-to fixed tables. Labelling covers all words of all texts; long texts are chains of ``CHAIN`` words.
+to fixed tables. Labelling covers all words of all texts, each text as one chain: a long one is cut into blocks
+of ``CHAIN`` words whose products of transition and emission matrices are taken all at once, messages are carried
+from block to block in both directions, and blocks are labelled with them. The result is that of the whole chain.
 
 Results by case: a null text, or one without a letter, is ``und`` with score 0; without rows to learn from
 all are ``und``; ties go to the language first in order; rows that repeat a doc_id are labelled one by one.
@@ -105,17 +107,57 @@ class Model:
 
 
 def chains(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of each chain: rows cut after every CHAIN words."""
+    """First word and length of each chain: the rows that have words."""
     counts = np.diff(bounds)
-    pieces = -(-counts // CHAIN)
+    return bounds[:-1][counts > 0], counts[counts > 0]
+
+
+def _even(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def messages(local: np.ndarray, step: np.ndarray, first: np.ndarray, size: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For blocks of chains, in order: what comes in before each block's first word, and what comes back behind its last.
+
+    A block's matrix takes the label of its first word to that of its last. Carries go block by block for all chains together.
+    """
+    k = local.shape[1]
+    through = np.eye(k)[None] * local[first][:, None, :]
+    for t in range(1, int(size.max())):
+        on = np.flatnonzero(size > t)
+        grown = (through[on] @ step) * local[first[on] + t][:, None, :]
+        through[on] = grown / grown.sum(axis=(1, 2), keepdims=True)
+    starts = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
+    blocks = np.diff(np.append(starts, len(first)))
+    order = np.argsort(-blocks, kind="stable")
+    starts, blocks = starts[order], blocks[order]
+    before, behind = np.ones((len(first), k)), np.ones((len(first), k))
+    for nth in range(1, int(blocks[0])):
+        at = starts[blocks > nth] + nth
+        before[at] = _even(_even((before[at - 1][:, None, :] @ through[at - 1])[:, 0]) @ step)
+    for nth in range(int(blocks[0]) - 2, -1, -1):
+        at = starts[blocks > nth + 1] + nth
+        behind[at] = _even((through[at + 1] @ behind[at + 1][:, :, None])[:, :, 0] @ step.T)
+    return before, behind
+
+
+def marginals(scores: np.ndarray, moves: np.ndarray, bounds: np.ndarray, block: int = CHAIN) -> np.ndarray:
+    """Each word's probabilities, every row one chain whatever its length."""
+    counts = np.diff(bounds)
+    pieces = -(-counts // block)
     row = np.repeat(np.arange(len(counts)), pieces)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    firsts = bounds[:-1][row] + nth * CHAIN
-    return firsts, np.minimum(CHAIN, bounds[1:][row] - firsts)
+    firsts = bounds[:-1][row] + nth * block
+    lengths = np.minimum(block, bounds[1:][row] - firsts)
+    if not len(firsts) or counts.max() <= block:
+        return forward_backward(scores, moves, firsts, lengths)[0]
+    ends = messages(np.exp(scores - scores.max(axis=1, keepdims=True)), np.exp(moves), firsts, lengths, row)
+    return forward_backward(scores, moves, firsts, lengths, ends=ends)[0]
 
 
-def forward_backward(scores: np.ndarray, moves: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, pairs: bool = False):
-    """Each word's probabilities; with ``pairs``, also the expected transitions of all chains.
+def forward_backward(scores: np.ndarray, moves: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, pairs: bool = False, ends=None):
+    """Each word's probabilities; with ``pairs``, also the expected transitions of all chains. ``ends`` are the messages
+    that reach each chain from before its first word and from behind its last.
 
     All chains step together, the longest first, so that the ones still running are a prefix.
     """
@@ -128,15 +170,16 @@ def forward_backward(scores: np.ndarray, moves: np.ndarray, firsts: np.ndarray,
     local = np.exp(scores - scores.max(axis=1, keepdims=True))
     step = np.exp(moves)
     running = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(int(lengths[0]))]
+    before, behind = (x[order] for x in ends) if ends else (1.0, np.ones((len(firsts), scores.shape[1])))
     ahead = []
     for t, n in enumerate(running):
-        a = local[firsts[:n] + t] if t == 0 else (ahead[-1][:n] @ step) * local[firsts[:n] + t]
+        a = before * local[firsts[:n]] if t == 0 else (ahead[-1][:n] @ step) * local[firsts[:n] + t]
         ahead.append(a / a.sum(axis=1, keepdims=True))
-    back = np.ones((running[-1], scores.shape[1]))
+    back = behind[: running[-1]]
     for t in range(len(running) - 1, -1, -1):
         n = running[t]
         if len(back) < n:
-            back = np.concatenate([back, np.ones((n - len(back), scores.shape[1]))])
+            back = np.concatenate([back, behind[len(back) : n]])
         both = ahead[t] * back
         marginal[firsts[:n] + t] = both / both.sum(axis=1, keepdims=True)
         if t:
@@ -274,7 +317,7 @@ def labelled(model: Model, column: pa.Array, powers: textscan.Powers) -> Iterato
     """For each piece of a batch: its words' probabilities, and which rows have a letter."""
     for piece in textscan.pieces(column):
         f = features(piece, powers)
-        marginal, _ = forward_backward(model.emissions(f), model.moves, *chains(f.spans.bounds))
+        marginal = marginals(model.emissions(f), model.moves, f.spans.bounds)
         yield piece, f, marginal, has_letter(piece, f.spans)
 
 
