@@ -11,7 +11,8 @@ An entry is kept as equal to another only if SHA-256, a second hash and the leng
 every level); its identifier is the extreme one and its count the sum.
 
 Results by case: a null text counts as empty; rows that repeat a ``doc_id`` and a text share one verdict;
-a null ``doc_id`` is never kept beside a known one, and a group of null ids only keeps null.
+a null ``doc_id`` is never kept beside a known one, and a group of null ids only keeps null; an empty table gives an
+empty result; texts of any length are hashed where they are; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def merged_runs(rows: DataFrame, keep: str = "largest", fan: int = FAN, holders:
         own = F.floor(F.col("holder") / unit) % fan
         merged = (
             runs.withColumn("holder", (F.col("holder") + (digit - own) * unit).cast("int"))
-            .repartition(fan**rounds, "holder")
+            .repartitionById(fan**rounds, "holder")
             .sortWithinPartitions("holder", *ENTRY)
             .groupBy("holder", *ENTRY)
             .agg(best.alias("best"), F.sum("group_size").alias("group_size"))
