@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelry.session import scratch_path
+from parcelry.session import scratch_path, scratch_scope
 
 #: ``[^\x20\x09-\x0D]+`` are words; everything else here is white space between them.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -24,6 +24,15 @@ def stage(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``stage`` of what ``make`` returns, after which every table staged while making it is dropped."""
+    path = scratch_path(spark, label)
+    with scratch_scope(spark):
+        frame = make()
+        frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a narrow table for broadcast if a count proves it has at most ``rows`` rows; else leaves the join to shuffle."""
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame

@@ -1,12 +1,15 @@
 """Scans of UTF-8 text by numpy over Arrow buffers: words, shingles, lines and their 64-bit hashes.
 
 All hashes are fixed functions of the bytes, equal on every machine. A span's hash is a polynomial
-in a fixed odd base over a table of random 64-bit values, taken from running sums, then mixed.
+in a fixed odd base over a table of random 64-bit values, taken from running sums, then mixed. Regular
+spans of a thousand bytes and more can agree in such a polynomial modulo 2 ** 64 whatever the base, so a
+span of ``LONG_SPAN`` bytes or more is hashed by BLAKE2 instead.
 Memory is about 60 bytes for each byte of a piece; a piece is about half a megabyte, or one longer text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +20,7 @@ import pyarrow.compute as pc
 from parcelry.llm.common import SPACE_BYTES
 
 PIECE_BYTES = 1 << 19
+LONG_SPAN = 128
 U = np.uint64
 
 
@@ -113,14 +117,20 @@ def words(piece: Piece, separates: np.ndarray = IS_SPACE) -> Spans:
     return Spans(starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, piece.offsets))
 
 
-def span_hashes(piece: Piece, spans: Spans, powers: Powers, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """A hash of the bytes of each span."""
+def span_hashes(piece: Piece, spans: Spans, powers: Powers, lowered: bool = False) -> np.ndarray:
+    """A hash of the bytes of each span; ``lowered`` takes A-Z as a-z."""
+    values = LOWERED_VALUES if lowered else BYTE_VALUES
     up, down = powers.upto(len(piece.data) + 1)
     running = np.zeros(len(piece.data) + 1, dtype=U)
+    sizes = spans.ends - spans.starts
     with np.errstate(over="ignore"):
         np.cumsum(values[piece.data] * up[:-1], dtype=U, out=running[1:])
         sums = (running[spans.ends] - running[spans.starts]) * down[spans.starts]
-        return mix(sums + (spans.ends - spans.starts).astype(U) * U(0xD6E8FEB86659FD93))
+        hashes = mix(sums + sizes.astype(U) * U(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(sizes >= LONG_SPAN):
+        raw = piece.data[spans.starts[k] : spans.ends[k]].tobytes()
+        hashes[k] = int.from_bytes(hashlib.blake2b(raw.lower() if lowered else raw, digest_size=8).digest(), "little")
+    return hashes
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +166,7 @@ def shingle_sets(column: pa.Array, width: int, powers: Powers) -> Iterator[tuple
     """
     for piece in pieces(column):
         found = words(piece)
-        hashes = span_hashes(piece, found, powers, LOWERED_VALUES)
+        hashes = span_hashes(piece, found, powers, lowered=True)
         _, joined = windows(hashes, found.bounds, width)
         for row in range(piece.rows):
             a, b = int(found.bounds[row]), int(found.bounds[row + 1])
