@@ -6,6 +6,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from parcelry.llm import ngram_join
@@ -79,15 +80,15 @@ def test_equals_all_pairs(spark, monkeypatch, width, threshold, crowded):
 
 @pytest.mark.parametrize("threshold", [75, 80, 90, 100])
 def test_a_partner_is_in_the_own_band_or_the_next(threshold):
-    lows, segments, carrying = bands(threshold)
+    known = bands(threshold)
     for size in [*range(1, 60), *range(60, 700, 23)]:
         most = size * 100 // threshold
         for other in {size, (size + most) // 2, most}:
-            shared = set(levels_of(size, threshold)) & set(levels_of(other, threshold))
-            own = max(levels_of(other, threshold)[0], levels_of(size, threshold)[0])
+            shared = set(levels_of(size, threshold, known)) & set(levels_of(other, threshold, known))
+            own = max(levels_of(other, threshold, known)[0], levels_of(size, threshold, known)[0])
             assert own in shared
-            assert segments[own] > (100 - threshold) * (size + other) // (100 + threshold)
-    assert (carrying <= segments).all()
+            assert known.segments[own] > (100 - threshold) * (size + other) // (100 + threshold)
+    assert (known.carrying <= known.segments).all()
 
 
 def test_nulls_ties_repeats_and_clashing_columns(spark):
@@ -101,6 +102,33 @@ def test_nulls_ties_repeats_and_clashing_columns(spark):
     assert kept.count() == 6
 
 
+def test_rows_without_an_id_link_others(spark):
+    words = [f"w{i}" for i in range(60)]
+    middle = [*words[:20], "x", *words[21:]]
+    last = [*words[:20], "x", *words[21:40], "y", *words[41:]]
+    texts = [(1, " ".join(words)), (None, " ".join(middle)), (3, " ".join(last)), (None, "else where now"), (None, "else where now")]
+    got = ngram_components(spark.createDataFrame(texts, "doc_id long, text string"), 3, 90).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == [(1, 1), (3, 1), (None, 1), (None, None), (None, None)]
+
+
+def test_regular_words_of_any_length_are_told_apart(spark):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    got = ngram_components(spark.createDataFrame([(1, word), (2, mirror), (3, word.upper())], "doc_id long, text string"), 3, 90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(4)
+    for size in (1, 30, 3000):
+        a, b = (rng.integers(0, 2 * size + 2, size).astype(np.uint64) for _ in range(2))
+        a, b = np.unique(a), np.unique(b)
+        bits = sum((x ^ y).bit_count() for x, y in zip(*([v & (1 << 64) - 1 for v in ngram_join.parity(s)] for s in (a, b)), strict=True))
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_empty_table(spark):
     assert ngram_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

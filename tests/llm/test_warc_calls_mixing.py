@@ -6,9 +6,11 @@ import base64
 import hashlib
 import json
 import math
+import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parcelry.llm import byte_bpe, mixing, quality_rules, tool_calls, warc
@@ -77,6 +79,7 @@ def test_calls_are_linked_ordered_and_checked(spark):
         (2, 0, "self", "add", '{"a": 1}', "self"), (2, 1, "gone", "add", '{"a": 1}', "nowhere"), (2, 2, None, "add", "[1]", "r"),
         (2, 3, "none", "other", '{"a": 1}', None), (2, 4, "bad", "add", None, None), (2, 5, "nan", "add", '{"a": NaN}', None),
         (3, 0, "twin", "add", '{"a": 1}', None), (3, 1, "twin", "add", '{"a": 2}', "r"),
+        (5, 0, "inf", "add", '{"a": 1e999}', None), (5, 1, "lone", "add", '{"b": "\\ud800"}', None),
     ]
     results = [(1, 9, "r", "first"), (1, 10, "r", "second"), (1, 9, "s", None), (4, 1, "lost", "q"), (4, 2, None, "q"), (3, 4, "twin", "both")]
     rows = tool_calls.linked(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), SCHEMAS).collect()
@@ -93,6 +96,7 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert facts("gone") == [(0, "pending", 0, True)]
     assert got["none"][0]["errors"] == "no schema for other"
     assert {got[i][0]["errors"] for i in ("bad", "nan")} == {"$: not a JSON object"}
+    assert {got[i][0]["errors"] for i in ("inf", "lone")} == {"$: holds a number that is not finite or text that is not Unicode"}
     assert facts("lost") == [(None, "orphan", 1, None)]
     assert sorted((r["status"], r["depth"]) for r in got[None]) == [("orphan", None), ("pending", 0)]
     assert [r["status"] for r in got["twin"]] == ["linked", "linked"]
@@ -107,6 +111,34 @@ def test_a_long_chain_has_its_depths(spark):
     assert {r["call_id"]: r["depth"] for r in rows} == {f"c{i}": i for i in range(150)}
 
 
+def test_conversations_that_use_the_same_identifiers(spark):
+    calls = [(c, t, f"call_{t}", "add", '{"a": 1}', f"call_{t - 1}" if t else None) for c in (1, 2, None) for t in range(3)]
+    results = [(c, 9, f"call_{t}", f"{c}-{t}") for c in (1, 2, None) for t in range(2)]
+    messages = [(1, 0, "system", "be kind"), (2, 0, None, None)]
+    frames = [spark.createDataFrame(x, k) for x, k in ((calls, CALLS), (results, RESULTS), (messages, "conv_id long, turn long, role string, content string"))]
+    rows = tool_calls.linked(*frames[:2], SCHEMAS, frames[2].withColumn("depth", F.lit("extra"))).collect()
+    assert len(rows) == 11
+    for r in rows:
+        if r["status"] != "message":
+            assert r["depth"] == r["turn"] and r["n_results"] == (r["turn"] < 2)
+            assert r["status"] == ("linked" if r["turn"] < 2 else "pending") and ("content" not in r["message"] or f"{r['conv_id']}-{r['turn']}" in r["message"])
+    assert {r["message"] for r in rows if r["status"] == "message"} == {'[{"content":"be kind","role":"system"}]', '[{"content":null,"role":null}]'}
+
+
+def test_calls_that_need_several_others(spark):
+    rng = random.Random(3)
+    needs = {i: sorted(rng.sample(range(i), min(i, rng.choice([0, 1, 1, 2, 3])))) for i in range(60)}
+    needs |= {70: [71], 71: [70, 3], 72: [70, 5], 73: [5, 99]}
+    calls = [(1, i, f"c{i}", "add", '{"a": 1}', [f"c{p}" for p in needs[i]]) for i in needs]
+    want = {}
+    for i in range(60):
+        want[f"c{i}"] = 1 + max((want[f"c{p}"] for p in needs[i]), default=-1)
+    want |= {"c70": None, "c71": None, "c72": None, "c73": want["c5"] + 1}
+    kind = CALLS.replace("after string", "after array<string>")
+    rows = tool_calls.linked(spark.createDataFrame(calls, kind), spark.createDataFrame([], RESULTS), SCHEMAS).collect()
+    assert {r["call_id"]: r["depth"] for r in rows} == want
+
+
 def test_no_calls(spark):
     assert tool_calls.linked(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).count() == 0
 
