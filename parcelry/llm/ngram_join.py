@@ -11,24 +11,33 @@ deleting one shingle on either side); if the slacks plus one sum to H + 1, no pa
 - **Index.** Every segment's subset is a signature; a twentieth of the segments of a band also carry
   their one-deletion neighbourhoods. Signatures are one row each and meet in one shuffle by key; those
   shared by no two different sets are dropped there.
-- **Leaders first.** Each shared subset links its members to its smallest one. After exact
-  verification and connected components, only subsets whose members lie in different components need
-  more work, and only for pairs across components. A group of near copies costs its size, not its square.
+- **Empty segments** are equal in any two sets that have them, which says nothing. A band has so many segments more than
+  H + 1 that a set can leave its empty ones out (slack -1) and still meet the sum; the few sets that have more empty
+  ones than that keep them. Segments that carry neighbourhoods are kept in any case.
+- **Leaders first.** Each shared subset links its members to its smallest one; of its leaders a set is held against
+  the one it shares most with, and against others only while the two are not connected. After exact verification
+  and connected components, only subsets whose members lie in different components need more work, and only for
+  pairs across components. A group of near copies costs its size, not its square.
 - **Allocation.** A set whose remaining subsets are crowded trades them, dearest first, for slack 1 on
   the cheapest of its segments that carry neighbourhoods, while that is not crowded too. Costs are counts
   from the index. Nothing is capped: subsets that stay crowded are joined by how their members differ from
   one of them (``crowd_links``), which is exact and costs the crowd's size.
-- **Verification** intersects whole sets of 64-bit shingle hashes.
-
-Equal sets are one node throughout. Results by case: a null or blank text has an empty set and links
-with nothing; fewer words than the width are one shingle; rows that repeat a ``doc_id`` are one node;
-a null ``doc_id`` can follow a group of equal texts but is never a group's name. Sets are compared by
-64-bit hashes, so two shingles of a pair coincide falsely about once in 10^19 comparisons.
+- **Verification** first compares parity bitmaps: every set has about a bit for each shingle, the parity of how many
+  hash there. Bits that differ between two sets never exceed their difference, so a pair with more than
+  H of them is dropped before any set travels, and no true pair is. Then whole sets of 64-bit shingle hashes are
+  intersected.
+
+Equal sets are one node throughout, named by a hash of the set, so rows without a ``doc_id`` link others like any
+row. Results by case: a null or blank text has an empty set and links with nothing; fewer words than the width are one
+shingle; rows that repeat a ``doc_id`` each link by their own text; a null ``doc_id`` can follow a group but is never its
+name, and a group of null ids only has none; an empty table gives an empty result; extra columns are not read;
+texts of any length are one set. Sets are compared by 64-bit hashes, so two shingles of a pair coincide falsely about
+once in 10^19 comparisons.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,44 +45,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelry.llm import textscan
-from parcelry.llm.common import chosen, map_batches, plain, stage, without
+from parcelry.llm.common import chosen, plain, settled, small, stage, without
 from parcelry.llm.graph import components
 
 #: Members of a shared subset above which its owners may trade it for slack elsewhere.
 CROWDED = 8
 #: One segment in so many carries one-deletion neighbourhoods.
 NEIGHBOURHOOD_EVERY = 20
+#: Segments of a band beyond those that its sizes need.
+SPARE_PERCENT = 8
 DELETED = 1 << 24
 BAND = 1 << 25
+#: Bits of the smallest parity bitmap.
+PARITY_BITS = 1024
+
+
+class Bands(NamedTuple):
+    """Smallest size of each band, its number of segments, how many of those carry neighbourhoods, and how many may be left out."""
+
+    lows: np.ndarray
+    segments: np.ndarray
+    carrying: np.ndarray
+    spare: np.ndarray
 
 
-@lru_cache(maxsize=8)
-def bands(threshold: int, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Smallest size of each band, its number of segments, and how many of those carry neighbourhoods."""
+def bands(threshold: int, most: int = 1 << 31) -> Bands:
     starts = [1]
     while starts[-1] < most:
         starts.append(max(starts[-1] + 1, starts[-1] * 9 // 8, -(-starts[-1] * 10_000 // threshold**2)))
     lows = np.array(starts, dtype=np.int64)
     highest = lows[1:] - 1
-    segments = (100 - threshold) * 2 * highest // (100 + threshold) + 1
+    least = (100 - threshold) * 2 * highest // (100 + threshold) + 1
+    spare = np.where(least > 1, -(-least * SPARE_PERCENT // 100), 0)
+    segments = least + spare
     carrying = np.where(segments > 1, -(-segments // NEIGHBOURHOOD_EVERY), 0)
-    return lows, segments, carrying
+    return Bands(lows, segments, carrying, spare)
 
 
-def levels_of(size: int, threshold: int) -> list[int]:
+def levels_of(size: int, threshold: int, known: Bands) -> list[int]:
     """The band of a set, and the next if a partner of this set may be there."""
-    lows, _, _ = bands(threshold)
-    own = int(np.searchsorted(lows, size, side="right")) - 1
-    return [own, own + 1] if size * 100 // threshold >= lows[own + 1] else [own]
+    own = int(np.searchsorted(known.lows, size, side="right")) - 1
+    return [own, own + 1] if size * 100 // threshold >= known.lows[own + 1] else [own]
 
 
-def signatures(shingles: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(shingles: np.ndarray, threshold: int, known: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a set, and for each its place: band, whether one shingle is deleted, segment."""
     keys, places = [], []
-    _, segments, carrying = bands(threshold)
     spread, weight = textscan.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), textscan.mix(shingles)
-    for level in levels_of(len(shingles), threshold):
-        m, z = int(segments[level]), int(carrying[level])
+    for level in levels_of(len(shingles), threshold, known):
+        m, z = int(known.segments[level]), int(known.carrying[level])
         segment = (spread % np.uint64(m)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         placed = segment[order]
@@ -84,8 +104,10 @@ def signatures(shingles: np.ndarray, threshold: int) -> tuple[np.ndarray, np.nda
             edges = np.searchsorted(placed, np.arange(m + 1))
             sums = running[edges[1:]] - running[edges[:-1]]
             salt = textscan.mix(at * np.uint64(0x9E3779B97F4A7C15))
-            keys.append(textscan.mix(sums + salt))
-            places.append(at.astype(np.int64))
+            empty = (edges[1:] == edges[:-1]) & (np.arange(m) >= z)
+            kept = ~empty if empty.sum() <= known.spare[level] else np.ones(m, dtype=bool)
+            keys.append(textscan.mix(sums + salt)[kept])
+            places.append(at.astype(np.int64)[kept])
             inner = order[: edges[z]]
             if len(inner):
                 own = segment[inner]
@@ -94,6 +116,21 @@ def signatures(shingles: np.ndarray, threshold: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(keys), np.concatenate(places)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap of about a bit for each shingle: of every bit the parity of how many shingles hash there, in 64-bit words."""
+    bits = max(PARITY_BITS, 1 << (len(shingles) - 1).bit_length())
+    at = textscan.mix(shingles ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)
+    odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def parity_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two bitmaps differ, the longer one folded to the shorter: never more than the sets' difference."""
+    words = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, words), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_hash(shingles: np.ndarray, seed: int) -> int:
     """An order-free hash of a set."""
     with np.errstate(over="ignore"):
@@ -102,31 +139,31 @@ def set_hash(shingles: np.ndarray, seed: int) -> int:
 
 
 def shingle_stats(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, e, e2): the size of each row's set and two hashes of it."""
+    """(doc_id, n_shingles, e, e2, parity): the size of each row's set, two hashes of it, and its parity bitmap."""
+    names = ["doc_id", "n_shingles", "e", "e2", "parity"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
         powers = textscan.Powers()
         for batch in batches:
             made = [
-                (len(s), set_hash(s, 1), set_hash(s, 2)) for _, s in textscan.shingle_sets(batch.column("text"), width, powers)
+                (len(s), set_hash(s, 1), set_hash(s, 2), parity(s).tobytes()) for _, s in textscan.shingle_sets(batch.column("text"), width, powers)
             ]
             if made:
-                n, e, e2 = zip(*made, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(e, pa.int64()), pa.array(e2, pa.int64())],
-                    ["doc_id", "n_shingles", "e", "e2"],
-                )
+                columns = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, e long, e2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, e long, e2 long, parity binary")
 
 
 def signature_rows(docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """(key, e, place): one row for each signature of each different set of a task."""
+    """(key, e, place, n): one row for each signature of each different set of a task."""
+    known = bands(threshold)
 
     def run(batches):
         powers, seen = textscan.Powers(), set()
         for batch in batches:
-            keys, owners, places, held = [], [], [], 0
+            keys, owners, places, sizes, held = [], [], [], [], 0
             for _, shingles in textscan.shingle_sets(batch.column("text"), width, powers):
                 if not len(shingles):
                     continue
@@ -134,64 +171,96 @@ def signature_rows(docs: DataFrame, width: int, threshold: int) -> DataFrame:
                 if e in seen:
                     continue
                 seen.add(e)
-                key, place = signatures(shingles, threshold)
+                key, place = signatures(shingles, threshold, known)
                 keys.append(key)
                 places.append(place)
                 owners.append(np.full(len(key), e, dtype=np.int64))
+                sizes.append(np.full(len(key), len(shingles), dtype=np.int64))
                 held += len(key)
                 if held >= 200_000:
-                    yield _rows(keys, owners, places)
-                    keys, owners, places, held = [], [], [], 0
+                    yield _rows(keys, owners, places, sizes)
+                    keys, owners, places, sizes, held = [], [], [], [], 0
             if keys:
-                yield _rows(keys, owners, places)
+                yield _rows(keys, owners, places, sizes)
 
-    return docs.select("text").mapInArrow(run, "key long, e long, place long")
+    return docs.select("text").mapInArrow(run, "key long, e long, place long, n long")
 
 
-def _rows(keys: list, owners: list, places: list) -> pa.RecordBatch:
-    columns = [np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(places)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "e", "place"])
+def _rows(keys: list, owners: list, places: list, sizes: list) -> pa.RecordBatch:
+    columns = [np.concatenate(keys).view(np.int64), *(np.concatenate(x) for x in (owners, places, sizes))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "e", "place", "n"])
 
 
 def shingle_arrays(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): the whole set of each row as sorted 64-bit hashes."""
+    """(e, shingles): the whole set of each row with words, as sorted 64-bit hashes, and its hash."""
 
     def run(batches):
         powers = textscan.Powers()
         for batch in batches:
-            held, ids, size = [], [], 0
-            for row, shingles in textscan.shingle_sets(batch.column("text"), width, powers):
+            held, owners, size = [], [], 0
+            for _, shingles in textscan.shingle_sets(batch.column("text"), width, powers):
+                if not len(shingles):
+                    continue
                 held.append(shingles.view(np.int64))
-                ids.append(batch.column("doc_id")[row].as_py())
+                owners.append(set_hash(shingles, 1))
                 size += len(shingles)
                 if size >= 500_000:
-                    yield _lists(ids, held)
-                    held, ids, size = [], [], 0
-            if ids:
-                yield _lists(ids, held)
+                    yield _lists(owners, held)
+                    held, owners, size = [], [], 0
+            if owners:
+                yield _lists(owners, held)
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(run, "e long, shingles array<long>")
 
 
-def _lists(ids: list, held: list) -> pa.RecordBatch:
+def _lists(owners: list, held: list) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held)))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["doc_id", "shingles"])
+    return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), lists], ["e", "shingles"])
+
+
+class Corpus(NamedTuple):
+    """The documents (doc_id, text) and, one row for each different set, ``sets``: e, e2, n, parity, rep (its smallest doc_id)."""
+
+    docs: DataFrame
+    sets: DataFrame
+    width: int
+    threshold: int
 
+    def arrays(self, wanted: DataFrame) -> DataFrame:
+        """(e, shingles) of the sets in the only column of ``wanted``, staged."""
+        wanted = stage(wanted.toDF("e").distinct(), "ngram-wanted")
+        reps = self.sets.join(small(wanted), "e", "left_semi").select("rep")
+        rows = chosen(self.docs, reps.where("rep IS NOT NULL"))
+        if not reps.where("rep IS NULL").isEmpty():
+            rows = rows.unionByName(self.docs.where("doc_id IS NULL"))
+        held = shingle_arrays(rows, self.width).join(small(wanted), "e", "left_semi")
+        return stage(held.groupBy("e").agg(F.first("shingles").alias("shingles")), "ngram-sets")
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose whole sets are similar enough, with both sizes and the intersection's."""
-    pairs = stage(pairs, "ngram-pairs")
-    ids = pairs.select("a").union(pairs.select("b"))
-    sets = stage(shingle_arrays(chosen(docs, ids), width), "ngram-sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
+
+def verified(corpus: Corpus, pairs: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b), those whose sets are similar enough, with both sizes and the intersection's."""
+    t = corpus.threshold
+    left, right = (corpus.sets.select(F.col("e").alias(c), F.col("parity").alias(f"parity_{c}"), F.col("n").alias(f"size_{c}")) for c in "ab")
+
+    def run(batches):
+        for batch in batches:
+            a, b, size_a, size_b = (batch.column(c).to_numpy() for c in ("a", "b", "size_a", "size_b"))
+            maps = ((np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column(f"parity_{c}")) for c in "ab")
+            apart = np.fromiter((parity_apart(x, y) for x, y in zip(*maps, strict=True)), dtype=np.int64, count=len(a))
+            kept = apart * (100 + t) <= (100 - t) * (size_a + size_b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
+
+    near = stage(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "ngram-pairs")
+    sets = corpus.arrays(near.select("a").union(near.select("b")))
+    left = sets.select(F.col("e").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("e").alias("b"), F.col("shingles").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
     return (
-        pairs.join(left, "a")
+        near.join(left, "a")
         .join(right, "b")
         .select("a", "b", F.size("s").alias("n_a"), F.size("t").alias("n_b"), shared.alias("shared"))
-        .where(f"shared * 100 >= {threshold} * (n_a + n_b - shared)")
+        .where(f"shared * 100 >= {t} * (n_a + n_b - shared)")
     )
 
 
@@ -202,39 +271,69 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: int = 80, key:
     """
     if not 50 <= threshold <= 100 or width < 1:
         raise ValueError("threshold must be 50 to 100 percent and width at least one word")
-    docs = plain(docs, key, text)
+    spark, docs = docs.sparkSession, plain(docs, key, text)
     stats = stage(shingle_stats(docs, width), "ngram-stats")
-    reps = stats.where("n_shingles > 0").groupBy("e", "e2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    links = ngram_links(docs, reps.where("rep IS NOT NULL"), width, threshold)
-    found = components(links, "ngram-components").toDF("rep", "component")
-    named = reps.join(found, "rep", "left").select("e", "e2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    return stats.join(named, ["e", "e2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    filled = stats.where("n_shingles > 0")
+    sets = stage(
+        filled.groupBy("e", "e2", F.col("n_shingles").alias("n")).agg(F.first("parity").alias("parity"), F.min("doc_id").alias("rep")), "ngram-different"
+    )
+    corpus = Corpus(docs, sets, width, threshold)
+    found = settled(spark, lambda: components(ngram_links(corpus), "ngram-components").toDF("e", "component"), "ngram-found")
+    linked = found.join(sets.select("e", "rep"), "e")
+    names = stage(linked.groupBy("component").agg(F.min("rep").alias("name")), "ngram-names")
+    named = sets.join(found.join(small(names), "component").select("e", "name"), "e", "left").select(
+        "e", "e2", F.col("n").alias("n_shingles"), F.coalesce("name", "rep").alias("component")
+    )
+    # Texts without words, which may be many, have no set to look up.
+    blank = stats.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return (
+        filled.join(named, ["e", "e2", "n_shingles"], "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .unionByName(blank)
     )
 
 
-def ngram_links(docs: DataFrame, reps: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Verified links (a, b) between representatives that connect all that similarity connects."""
+def shared_signatures(corpus: Corpus) -> DataFrame:
+    """(key, e, place, n) of the signatures that two different sets or more share."""
     by_key = Window.partitionBy("key")
-    shared = (
-        signature_rows(docs, width, threshold)
+    return (
+        signature_rows(corpus.docs, corpus.width, corpus.threshold)
         .repartition("key")
         .withColumn("_low", F.min("e").over(by_key))
         .withColumn("_high", F.max("e").over(by_key))
         .where("_low < _high")
-        .select("key", "e", "place")
+        .select("key", "e", "place", "n")
         .dropDuplicates()
     )
-    owners = reps.select("e", "rep", F.col("n_shingles").alias("n"))
-    index = stage(shared.join(owners, "e").select("key", "rep", "n", "place"), "ngram-index")
 
-    equal = index.where(f"place & {DELETED} = 0")
-    leaders = equal.withColumn("a", F.min(F.struct("rep", "n")).over(by_key))
-    first = leaders.select(F.col("a.rep").alias("a"), F.col("rep").alias("b"), F.col("a.n").alias("n_a"), F.col("n").alias("n_b"))
-    links = stage(_checked(docs, first, width, threshold), "ngram-links")
 
-    found = components(links, "ngram-components").toDF("rep", "component")
-    index = index.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def leader_links(corpus: Corpus, equal: DataFrame) -> DataFrame:
+    """Verified links (a, b) of members of shared subsets to the smallest member, as many as connect them.
+
+    A set may have a leader for each of its segments. It is held against the one it shares most subsets with first,
+    and against the others only where that left the two unconnected, so a set travels about once.
+    """
+    leaders = equal.groupBy("key").agg(F.min(F.struct("e", "n")).alias("a"))
+    pairs = equal.join(leaders, "key").where("a.e <> e").groupBy(F.col("a.e").alias("a"), F.col("e").alias("b"), F.col("a.n").alias("n_a"), F.col("n").alias("n_b"))
+    by_votes = Window.partitionBy("b").orderBy(F.desc("votes"), "a")
+    pairs = stage(pairs.agg(F.count("*").alias("votes")).withColumn("rank", F.row_number().over(by_votes)), "ngram-leaders")
+    links = stage(_checked(corpus, pairs.where("rank = 1")), "ngram-first")
+    found = components(links, "ngram-components")
+    c_a, c_b = found.toDF("a", "c_a"), found.toDF("b", "c_b")
+    rest = pairs.where("rank > 1").join(c_a, "a", "left").join(c_b, "b", "left").where("NOT coalesce(c_a = c_b, false)")
+    return links.unionByName(_checked(corpus, rest))
+
+
+def ngram_links(corpus: Corpus) -> DataFrame:
+    """Verified links (a, b) between sets that connect all that similarity connects."""
+    spark, threshold = corpus.docs.sparkSession, corpus.threshold
+    by_key = Window.partitionBy("key")
+    index = stage(shared_signatures(corpus), "ngram-index")
+
+    links = settled(spark, lambda: leader_links(corpus, index.where(f"place & {DELETED} = 0")), "ngram-links")
+
+    found = settled(spark, lambda: components(links, "ngram-components").toDF("e", "component"), "ngram-found")
+    index = index.join(found, "e", "left").withColumn("component", F.coalesce("component", "e"))
     shared_by = (
         index.where(f"place & {DELETED} = 0")
         .groupBy("key", "component").agg(F.count("*").alias("n_own"))
@@ -247,21 +346,21 @@ def ngram_links(docs: DataFrame, reps: DataFrame, width: int, threshold: int) ->
     )
     if open_rows.isEmpty():
         return links
-    probes = stage(allocated(index, open_rows, threshold), "ngram-probes")
+    probes = settled(spark, lambda: allocated(index, open_rows, threshold), "ngram-probes")
     crowd = f"kind = 'equal' AND cost > {CROWDED}"
-    a = probes.where(f"NOT ({crowd})").select("key", "kind", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    b = index.select("key", (F.col("place").bitwiseAND(DELETED) != 0).alias("kind_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+    a = probes.where(f"NOT ({crowd})").select("key", "kind", F.col("e").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+    b = index.select("key", (F.col("place").bitwiseAND(DELETED) != 0).alias("kind_b"), F.col("e").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
     fits = "(kind = 'equal' AND NOT kind_b OR kind = 'near' AND kind_b OR kind = 'less' AND NOT kind_b)"
     more = a.join(b, "key").where(f"a <> b AND c_a <> c_b AND {fits}").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b"
     )
-    links = stage(links.unionByName(_checked(docs, more, width, threshold)), "ngram-links")
-    crowds = open_rows.join(probes.where(crowd).select("key").distinct(), "key", "left_semi").select("key", "rep", "n")
-    return crowd_links(docs, stage(crowds, "ngram-crowds"), links, width, threshold)
+    links = settled(spark, lambda: links.unionByName(_checked(corpus, more)), "ngram-links")
+    crowds = open_rows.join(probes.where(crowd).select("key").distinct(), "key", "left_semi").select("key", "e", "n")
+    return crowd_links(corpus, stage(crowds, "ngram-crowds"), links)
 
 
-def crowd_links(docs: DataFrame, crowds: DataFrame, links: DataFrame, width: int, threshold: int) -> DataFrame:
-    """``links`` with those between members of crowded subsets (key, rep, n) added, without pairing the members.
+def crowd_links(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` with those between members of crowded subsets (key, e, n) added, without pairing the members.
 
     Crowded subsets that share members form a group, and every member is described by how it differs from the
     group's first member, its root: as the difference of two sets is that of their differences from any third,
@@ -272,43 +371,44 @@ def crowd_links(docs: DataFrame, crowds: DataFrame, links: DataFrame, width: int
     """
     if crowds.isEmpty():
         return links
-    tops = crowds.groupBy("key").agg(F.min("rep").alias("a"))
-    star = crowds.join(tops, "key").select("a", F.col("rep").alias("b")).distinct()
-    groups = stage(components(star, "ngram-groups").toDF("rep", "root"), "ngram-groups")
-    sets = stage(shingle_arrays(chosen(docs, groups.select("rep")), width), "ngram-sets")
-    own = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("s"))
-    of_root = sets.select(F.col("doc_id").alias("root"), F.col("shingles").alias("t"))
+    threshold = corpus.threshold
+    tops = crowds.groupBy("key").agg(F.min("e").alias("a"))
+    star = crowds.join(tops, "key").select("a", F.col("e").alias("b")).distinct()
+    groups = stage(components(star, "ngram-groups").toDF("e", "root"), "ngram-groups")
+    sets = corpus.arrays(groups.select("e"))
+    own = sets.select("e", F.col("shingles").alias("s"))
+    of_root = sets.select(F.col("e").alias("root"), F.col("shingles").alias("t"))
     apart = F.concat(F.array_sort(F.array_except("s", "t")), F.array_sort(F.array_except("t", "s")))
     reach = F.floor((F.col("n") + F.floor(F.col("n") * 100 / threshold)) * (100 - threshold) / (100 + threshold)).cast("int")
     deltas = stage(
-        groups.join(own, "rep").join(of_root, "root")
-        .select("root", "rep", F.size("s").alias("n"), F.size("t").alias("n_root"), apart.alias("apart"))
-        .select("root", "rep", "n", "n_root", F.size("apart").alias("x"), F.slice("apart", F.lit(1), reach + 1).alias("first"), reach.alias("reach")),
+        groups.join(own, "e").join(of_root, "root")
+        .select("root", "e", F.size("s").alias("n"), F.size("t").alias("n_root"), apart.alias("apart"))
+        .select("root", "e", "n", "n_root", F.size("apart").alias("x"), F.slice("apart", F.lit(1), reach + 1).alias("first"), reach.alias("reach")),
         "ngram-deltas",
     )
     differ = f"* {100 + threshold} <= {100 - threshold} *"
-    links = stage(links.unionByName(deltas.where(f"rep <> root AND x {differ} (n + n_root)").select(F.col("root").alias("a"), F.col("rep").alias("b"))), "ngram-links")
-    found = components(links, "ngram-components").toDF("rep", "component")
+    links = stage(links.unionByName(deltas.where(f"e <> root AND x {differ} (n + n_root)").select(F.col("root").alias("a"), F.col("e").alias("b"))), "ngram-links")
+    found = components(links, "ngram-components").toDF("e", "component")
     rows = stage(
-        deltas.join(found, "rep", "left")
-        .select("root", "rep", "n", "x", "reach", F.coalesce("component", "rep").alias("component"), F.posexplode("first").alias("at", "shingle")),
+        deltas.join(found, "e", "left")
+        .select("root", "e", "n", "x", "reach", F.coalesce("component", "e").alias("component"), F.posexplode("first").alias("at", "shingle")),
         "ngram-differences",
     )
-    far = rows.select("root", "shingle", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("x").alias("x_a"), F.col("component").alias("c_a"))
-    near = rows.where("at <= reach DIV 2").select("root", "shingle", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("x").alias("x_b"), F.col("component").alias("c_b"))
+    far = rows.select("root", "shingle", F.col("e").alias("a"), F.col("n").alias("n_a"), F.col("x").alias("x_a"), F.col("component").alias("c_a"))
+    near = rows.where("at <= reach DIV 2").select("root", "shingle", F.col("e").alias("b"), F.col("n").alias("n_b"), F.col("x").alias("x_b"), F.col("component").alias("c_b"))
     pairs = far.join(near, ["root", "shingle"]).where(f"c_a <> c_b AND x_a >= x_b AND (x_a - x_b) {differ} (n_a + n_b)")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b")
-    return links.unionByName(_checked(docs, pairs, width, threshold))
+    return links.unionByName(_checked(corpus, pairs))
 
 
-def _checked(docs: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
+def _checked(corpus: Corpus, pairs: DataFrame) -> DataFrame:
     """Verified pairs; sizes too far apart to be similar are left out before any set is read."""
-    near = pairs.where(f"a <> b AND 100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select("a", "b").distinct()
-    return verified(docs, near, width, threshold).select("a", "b")
+    near = pairs.where(f"a <> b AND 100 * least(n_a, n_b) >= {corpus.threshold} * greatest(n_a, n_b)").select("a", "b").distinct()
+    return verified(corpus, near).select("a", "b")
 
 
 def allocated(index: DataFrame, open_rows: DataFrame, threshold: int) -> DataFrame:
-    """(key, rep, n, component, kind) to look up: ``equal`` subsets, and for slack 1 a set's subset (``near``)
+    """(key, e, n, component, kind) to look up: ``equal`` subsets, and for slack 1 a set's subset (``near``)
     against neighbourhoods and its own neighbourhoods (``less``) against subsets.
 
     The dearest crowded subset of a set is traded for its cheapest slack, the next for the next, while that
@@ -317,41 +417,41 @@ def allocated(index: DataFrame, open_rows: DataFrame, threshold: int) -> DataFra
     band = F.shiftright("place", 25)
     segment = F.col("place").bitwiseAND(DELETED - 1)
     crowded = open_rows.where(F.col("cost") > CROWDED).withColumn("level", band)
-    traders = crowded.select("rep", "level").distinct()
+    traders = crowded.select("e", "level").distinct()
 
-    _, segments, carrying = bands(threshold)
+    _, segments, carrying, _ = bands(threshold)
     zones = F.element_at(F.array(*[F.lit(int(z)) for z in carrying[: int(np.searchsorted(segments, 1 << 24))]]), (F.col("level") + 1).cast("int"))
-    zoned = index.withColumn("level", band).withColumn("segment", segment).join(traders, ["rep", "level"]).where(F.col("segment") < zones)
+    zoned = index.withColumn("level", band).withColumn("segment", segment).join(traders, ["e", "level"]).where(F.col("segment") < zones)
     counts = index.groupBy("key").agg(
         F.count_if(F.col("place").bitwiseAND(DELETED) == 0).alias("n_equal"), F.count_if(F.col("place").bitwiseAND(DELETED) != 0).alias("n_less")
     )
     is_equal = F.col("place").bitwiseAND(DELETED) == 0
     slack = (
         zoned.join(counts, "key")
-        .groupBy("rep", "level", "segment")
+        .groupBy("e", "level", "segment")
         .agg(F.sum(F.when(is_equal, F.col("n_less")).otherwise(F.col("n_equal"))).alias("slack_cost"))
     )
-    barred = crowded.select("rep", "level", segment.alias("segment"))
-    per_set = Window.partitionBy("rep", "level")
+    barred = crowded.select("e", "level", segment.alias("segment"))
+    per_set = Window.partitionBy("e", "level")
     offers = (
-        slack.join(barred, ["rep", "level", "segment"], "left_anti")
+        slack.join(barred, ["e", "level", "segment"], "left_anti")
         .withColumn("rank", F.row_number().over(per_set.orderBy("slack_cost", "segment")))
     )
-    taken = slack.groupBy("rep", "level").agg(F.count("*").alias("taken"))
+    taken = slack.groupBy("e", "level").agg(F.count("*").alias("taken"))
     asks = (
-        crowded.select("rep", "level", "key", segment.alias("asked"), "cost")
+        crowded.select("e", "level", "key", segment.alias("asked"), "cost")
         .withColumn("order", F.row_number().over(per_set.orderBy(F.desc("cost"), "asked")))
-        .join(taken, ["rep", "level"], "left")
+        .join(taken, ["e", "level"], "left")
         .withColumn("rank", F.col("order") - (zones - F.coalesce("taken", F.lit(0))))
     )
     trades = stage(
-        asks.join(offers, ["rep", "level", "rank"], "left").where(f"rank <= 0 OR slack_cost <= {CROWDED}").select("rep", "level", "key", "segment"),
+        asks.join(offers, ["e", "level", "rank"], "left").where(f"rank <= 0 OR slack_cost <= {CROWDED}").select("e", "level", "key", "segment"),
         "ngram-trades",
     )
-    equal = open_rows.join(trades.select("rep", "key"), ["rep", "key"], "left_anti").select("key", "rep", "n", "component", F.lit("equal").alias("kind"), "cost")
-    lifted = zoned.join(trades.where("segment IS NOT NULL").select("rep", "level", "segment").distinct(), ["rep", "level", "segment"])
+    equal = open_rows.join(trades.select("e", "key"), ["e", "key"], "left_anti").select("key", "e", "n", "component", F.lit("equal").alias("kind"), "cost")
+    lifted = zoned.join(trades.where("segment IS NOT NULL").select("e", "level", "segment").distinct(), ["e", "level", "segment"])
     kind = F.when(F.col("place").bitwiseAND(DELETED) == 0, "near").otherwise("less")
-    return equal.unionByName(lifted.select("key", "rep", "n", "component", kind.alias("kind"), F.lit(0).cast("long").alias("cost")))
+    return equal.unionByName(lifted.select("key", "e", "n", "component", kind.alias("kind"), F.lit(0).cast("long").alias("cost")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
