@@ -2,7 +2,7 @@
 
 Documents are laid end to end in ascending ``doc_id`` order, each with an end id, and cut into sequences
 of ``length`` ids; the last sequence of a file is padded and its mask says so. A file holds one range of
-doc_id: ``part-N.tokens.arrow`` has record batches of the fixed-size lists ``ids`` and ``mask``, not
+doc_id: ``part-N.tokens.arrow`` has record batches of the fixed-size lists ``ids`` and ``mask`` (one bit an id), not
 compressed, so that any sequence is a view into the mapped file; ``part-N.docs.arrow`` says where each
 document begins. Files hold places within themselves; a document's place in the whole comes from the
 files' token counts, one row each, so texts are encoded once.
@@ -10,10 +10,12 @@ files' token counts, one row each, so texts are encoded once.
 Encoding uses the tokenizers library. Its byte-level split never joins across a space or a line feed
 between two characters that aren't white space, so a text without other white space around such places
 is looked up part by part among the parts already encoded by this worker, up to a fixed number of
-entries; new parts are encoded together. Any other text is encoded as it is. Ids are the same either way.
+entries; new parts are encoded together. Any other text, and one that holds the string of an added token, is
+encoded as it is. Ids are the same either way, and are those of the file as the library reads it: added tokens'
+strings become their ids.
 
-Results by case: a null or empty text is its end id alone; rows with equal doc_id follow each other in
-the order of their texts; null doc_ids come first; an empty table writes no documents.
+Results by case: a null or empty text is its end id alone; texts of any length are encoded whole; rows with equal doc_id follow each other in
+the order of their texts; null doc_ids come first; an empty table writes no documents; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ REMEMBERED = 800_000
 #: Places where a split at single spaces and line feeds would not be safe.
 UNSAFE = re.compile(r"\s\s|\A\s|\s\Z|\A\Z")
 MOST_TASKS = 20_000
+#: Text of a file, at most on average.
+FILE_BYTES = 256 << 20
 
 
 class Codec:
@@ -49,12 +53,12 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.begins = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.begins[i] = token.startswith("Ġ")
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.line_feed = self.whole("\n")
 
@@ -63,7 +67,8 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        split = [None if UNSAFE.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        whole = lambda t: UNSAFE.search(t) or any(x in t for x in self.added)
+        split = [None if whole(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         wanted: set[str] = set()
         for lines in split:
             for parts in lines or ():
@@ -128,7 +133,7 @@ class SequenceWriter:
 
     def __init__(self, out, dtype: np.dtype, length: int) -> None:
         self.dtype, self.length, self.held, self.size = dtype, length, [], 0
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.file = pa.ipc.new_file(out, self.schema)
 
     def add(self, ids: bytes) -> None:
@@ -150,8 +155,7 @@ class SequenceWriter:
             rows = -(-len(some) // self.length)
             padded = np.zeros(rows * self.length, dtype=self.dtype)
             padded[: len(some)] = some
-            mask = np.zeros(rows * self.length, dtype=np.uint8)
-            mask[: len(some)] = 1
+            mask = np.arange(rows * self.length) < len(some)
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)]
             self.file.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
         rest = ids[upto:].tobytes()
@@ -169,18 +173,20 @@ class Sequences:
         n = self.reader.num_record_batches
         return (n - 1) * self.per_batch + self.reader.get_batch(n - 1).num_rows if n else 0
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of a sequence, both views into the file."""
         if not 0 <= i < len(self):
             raise IndexError(i)
         batch = self.reader.get_batch(i // self.per_batch)
-        return tuple(batch.column(c)[i % self.per_batch].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+        ids, mask = (batch.column(c)[i % self.per_batch].values for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def streams(self) -> Iterator[np.ndarray]:
         """The ids without padding, batch by batch."""
         for k in range(self.reader.num_record_batches):
             batch = self.reader.get_batch(k)
-            ids, mask = (batch.column(c).flatten().to_numpy() for c in ("ids", "mask"))
-            yield ids if mask[-1] else ids[: int(mask.sum())]
+            ids, mask = (batch.column(c).flatten() for c in ("ids", "mask"))
+            yield ids.to_numpy()[: mask.true_count]
 
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
@@ -189,7 +195,10 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", p
 def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0, length: int = LENGTH, key: str = "doc_id", text: str = "text", files: int | None = None) -> DataFrame:
     """Encodes and writes all rows; returns (part, n_docs, n_tokens) for each file."""
     rows = plain(docs, key, text)
-    ordered = rows.repartitionByRange(files or shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    if files is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(shuffle_width(docs.sparkSession), -(-size // FILE_BYTES))
+    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, codec = TaskContext.get().partitionId(), worker_codec(tokenizer_file)
