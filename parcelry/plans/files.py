@@ -16,11 +16,10 @@ from parcelry.session import scratch_path
 from parcelry.sources.files import file_manifest, read_parts
 
 PART = 4096
-# Names put beside every page to try the deny-list on; the last ones are harmless.
+# Names put beside every page to try each pattern of the deny-list on, and names that miss it narrowly.
 SIBLINGS = [
-    "wp-config.php", "WP-CONFIG.PHP", "wp-config.php.bak-1", "wp-config.php~", "wp-config-old.php", "wp-config-sample.php",
-    "not-wp-config.php", ".env", ".env.local", "environment.php", "notes.env.txt", "dump.sql", "dump.sql.gz", "dump.sql.zip",
-    "server.pem", "site.KEY", "id_rsa.pub", "notes.sql.txt",
+    "wp-config.php", "Wp-Config.Php", "wp-config.php.2", "WP-CONFIG.PHP~", "wp-config-staging.php", "wp-config-sample.php", "wp-config.txt", "my.wp-config.php",
+    ".ENV", ".env.7", ".envrc", "a.env", "orders.sql", "ORDERS.SQL.GZ", "orders.sql.zip", "orders.sql.bz2", "chain.PEM", "sign.key", "key.md", "id_rsa_7", "my_id_rsa",
 ]
 _names = "[" + ", ".join(f"'{name}'" for name in SIBLINGS) + "]"
 

@@ -13,15 +13,17 @@ from parcelry.plans.tables import ORDERS_DDL  # noqa: F401  (registers the table
 from parcelry.session import scratch_path
 from parcelry.sources.audit_log import read_audit
 from parcelry.streaming.adapt import advise_stream, latest_advice
-from parcelry.streaming.audit import audit_stream
-from parcelry.streaming.extract import extract_stream, read_extracted
+from parcelry.streaming.audit import audit_stream, settle_audit
+from parcelry.streaming.extract import extract_stream, finish_extract, read_extracted
 from parcelry.streaming.monitor import ALERT_SCHEMA, monitor_stream
 
 
 @query("stream_extract", ORACLES["table_segments"])
 def _extract(spark: SparkSession, sf: str) -> DataFrame:
     path, checkpoint = scratch_path(spark, "stream-extract"), scratch_path(spark, "checkpoint")
-    extract_stream(table_stream(spark, sf, "orders"), "orders", ["o_orderkey"], path, checkpoint).awaitTermination()
+    orders = table_stream(spark, sf, "orders")
+    extract_stream(orders, "orders", ["o_orderkey"], path, checkpoint).awaitTermination()
+    finish_extract(spark, orders.schema, "orders", ["o_orderkey"], path)
     return read_extracted(spark, path).select(
         "part", "name", F.octet_length("payload").cast("bigint").alias("bytes"), F.md5("payload").alias("payload_md5")
     )
@@ -52,5 +54,6 @@ def _expiry(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_audit", f"with {sql.JOURNAL} select job_id, min(ts) as ts from journal where state = 'ready' group by job_id")
 def _audit(spark: SparkSession, sf: str) -> DataFrame:
     path, checkpoint = scratch_path(spark, "stream-audit"), scratch_path(spark, "checkpoint")
-    audit_stream(entries_of(journal_of(table_stream(spark, sf, "events"))), path, checkpoint).awaitTermination()
+    audit_stream(entries_of(journal_of(table_stream(spark, sf, "events"))), path, checkpoint, hold=None).awaitTermination()
+    settle_audit(spark, path, checkpoint)
     return read_audit(spark, path).select("job_id", "ts")

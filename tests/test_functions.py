@@ -32,14 +32,12 @@ def test_row_tuple_types(spark):
 
 
 RESTRICTED = [
-    "wp-config.php", "WP-CONFIG.PHP", "wp-config.php.bak-20260717-212309", "wp-config.php.save", "wp-config.php~",
-    "wp-config-old.php", "backups/wp-config.php.bak", ".env", ".env.local", "app/config/.env.production", "dump.sql",
-    "dump.sql.gz", "dump.sql.zip", "server.pem", "id_rsa", "id_rsa.pub", "./dump.sql", "././x.KEY", "a\\b\\.env", "/dump.sql",
-    "a/wp-config.php/", "wp-config.php\n",
+    "wp-config.php", "q/Wp-Config.Php", "wp-config.php.1", "x\\wp-config.php~", "wp-config-staging.php", "q/wp-config.php//", "wp-config.php.9",
+    ".ENV", "q/r/.env.7", "q\\.env", "orders.sql", "./ORDERS.SQL.GZ", "orders.sql.zip", "/chain.PEM", "./././sign.key", "id_rsa_7",
 ]
 FREE = [
-    "wp-config-sample.php", "not-wp-config.php", "environment.php", "notes.env.txt", "content/backups/dump.sql", "notes.sql.txt",
-    "a\\dump.sql", "./a/dump.sql", "WP-config-SAMPLE.php", "wp-config.phpx", "",
+    "Wp-Config-Sample.Php", "my.wp-config.php", "wp-config.txt", "wp-config.php7", ".envrc", "a.env", "env", "q/orders.sql", "q\\chain.pem", "./q/id_rsa",
+    "orders.sql.bz2", "my_id_rsa", "key.md", " ",
 ]
 
 

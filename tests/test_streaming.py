@@ -9,7 +9,7 @@ from parcelry.operators.slicing import slice_table
 from parcelry.sources.audit_log import AUDIT_SCHEMA, read_audit
 from parcelry.streaming import extract as extract_module
 from parcelry.streaming.adapt import advise_stream, latest_advice
-from parcelry.streaming.audit import audit_stream
+from parcelry.streaming.audit import audit_stream, late_entries, settle_audit
 from parcelry.streaming.extract import extract_stream, read_extracted
 from parcelry.streaming.monitor import ALERT_SCHEMA, monitor_stream
 
@@ -59,11 +59,41 @@ def test_extraction_survives_a_crash(spark, tmp_path, monkeypatch):
     extract_stream(stream_of(spark, source, df.schema), "t", ["id"], out, checkpoint, max_rows=100).awaitTermination()
     assert crashed == [2]
 
+    extract_module.finish_extract(spark, df.schema, "t", ["id"], out, max_rows=100)
     got = read_extracted(spark, out).orderBy("batch", "part").collect()
-    assert {r["batch"] for r in got} == {0, 1, 2, 3}
-    whole = table_segments(slice_table(df, ["id"], 100), "t", df.columns, "").orderBy("part").collect()
-    assert tuples_in([bytes(r["payload"]) for r in got]) == tuples_in([bytes(r["payload"]) for r in whole])
-    assert sum(b"CREATE TABLE" in bytes(r["payload"]) for r in got) == 1
+    assert {r["batch"] for r in got} == {0, 1, 2, 3, 4}
+    assert [(r["part"], bytes(r["payload"])) for r in got] == whole_segments(spark.read.parquet(str(source)), ["id"], 100)
+
+
+def whole_segments(df, key, max_rows, max_bytes=1 << 30):
+    prefix = extract_module.structure_text("t", df.schema) + extract_module.data_header("t")
+    rows = table_segments(slice_table(df, key, max_rows, max_bytes), "t", df.columns, prefix).orderBy("part").collect()
+    return [(r["part"], bytes(r["payload"])) for r in rows]
+
+
+@pytest.mark.parametrize(("max_rows", "max_bytes"), [(1000, 700), (100, 1 << 30)])
+def test_extraction_from_many_files_equals_one_cut(spark, tmp_path, max_rows, max_bytes):
+    source = tmp_path / "in"
+    source.mkdir()
+    df = spark.range(0, 900).select("id", F.expr("repeat('x', cast(id % 50 as int))").alias("v"))
+    edges = [0, 3, 300, 640, 900]
+    for i, (low, high) in enumerate(zip(edges, edges[1:])):
+        add_file(df.filter((F.col("id") >= low) & (F.col("id") < high)), source, str(i))
+    out, limits = str(tmp_path / "out"), {"max_rows": max_rows, "max_bytes": max_bytes}
+    extract_stream(stream_of(spark, source, df.schema), "t", ["id"], out, str(tmp_path / "cp"), **limits).awaitTermination()
+    extract_module.finish_extract(spark, df.schema, "t", ["id"], out, **limits)
+    got = [(r["part"], bytes(r["payload"])) for r in read_extracted(spark, out).orderBy("part").collect()]
+    assert got == whole_segments(spark.read.parquet(str(source)), ["id"], max_rows, max_bytes)
+
+
+def test_extraction_refuses_keys_that_go_back(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    df = spark.range(0, 100).select("id")
+    for i, low in enumerate((50, 0)):
+        add_file(df.filter((F.col("id") >= low) & (F.col("id") < low + 50)), source, str(i))
+    with pytest.raises(Exception, match="not behind"):
+        extract_stream(stream_of(spark, source, df.schema), "t", ["id"], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
 
 
 STEPS = "job_id bigint, ts bigint, event_id bigint, kind string, spends string"
@@ -151,7 +181,41 @@ def test_audit_is_exactly_once(spark, tmp_path):
     for i, jobs in enumerate(batches):
         add_file(ready_rows(spark, jobs), source, str(i))
         audit_stream(stream_of(spark, source, AUDIT_SCHEMA), out, str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["job_id"] for r in read_audit(spark, out).collect()) == [10, 11, 12, 13]
+    assert sorted(r["job_id"] for r in read_audit(spark, out).collect()) == [10, 11, 12]
+    settle_audit(spark, out, str(tmp_path / "cp"))
+    want = {10: 1, 11: 2, 12: 5, 13: 90_001}
+    assert sorted((r["job_id"], r["seq"]) for r in read_audit(spark, out).collect()) == sorted(want.items())
     # Even a lost checkpoint, which replays everything, adds nothing.
     audit_stream(stream_of(spark, source, AUDIT_SCHEMA), out, str(tmp_path / "cp2")).awaitTermination()
-    assert sorted(r["job_id"] for r in read_audit(spark, out).collect()) == [10, 11, 12, 13]
+    settle_audit(spark, out, str(tmp_path / "cp2"))
+    assert sorted((r["job_id"], r["seq"]) for r in read_audit(spark, out).collect()) == sorted(want.items())
+
+
+def test_audit_takes_the_earliest_event_in_any_order(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    source = tmp_path / "in"
+    source.mkdir()
+    events = [(seq, rng.randrange(25)) for seq in rng.sample(range(500_000), 120)]
+    for i in range(3):
+        add_file(ready_rows(spark, events[i * 40 : i * 40 + 40]), source, str(i))
+    out, checkpoint = str(tmp_path / "log"), str(tmp_path / "cp")
+    audit_stream(stream_of(spark, source, AUDIT_SCHEMA), out, checkpoint, hold=None).awaitTermination()
+    settle_audit(spark, out, checkpoint)
+    want = {}
+    for seq, job in events:
+        want[job] = min(seq, want.get(job, seq))
+    assert sorted((r["job_id"], r["seq"]) for r in read_audit(spark, out).collect()) == sorted(want.items())
+    assert late_entries(spark, out, checkpoint).count() == 0
+
+
+def test_audit_lists_what_came_too_late(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    out, checkpoint = str(tmp_path / "log"), str(tmp_path / "cp")
+    for i, jobs in enumerate([[(1000, 1)], [(9000, 2)], [(5, 1)]]):
+        add_file(ready_rows(spark, jobs), source, str(i))
+    audit_stream(stream_of(spark, source, AUDIT_SCHEMA), out, checkpoint).awaitTermination()
+    assert [(r["job_id"], r["seq"]) for r in read_audit(spark, out).collect()] == [(1, 1000)]
+    assert [(r["job_id"], r["seq"]) for r in late_entries(spark, out, checkpoint).collect()] == [(1, 5)]
