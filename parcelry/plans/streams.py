@@ -15,7 +15,7 @@ from parcelry.sources.audit_log import read_audit
 from parcelry.streaming.adapt import advise_stream, latest_advice
 from parcelry.streaming.audit import audit_stream, settle_audit
 from parcelry.streaming.extract import extract_stream, finish_extract, read_extracted
-from parcelry.streaming.monitor import ALERT_SCHEMA, monitor_stream
+from parcelry.streaming.monitor import monitor_stream, standing_alerts
 
 
 @query("stream_extract", ORACLES["table_segments"])
@@ -44,11 +44,10 @@ select job_id, state, updated_at from jobs, mark
 where now - updated_at > 3600 or now - coalesce(progressed_at, created_at) > 21600""",
 )
 def _expiry(spark: SparkSession, sf: str) -> DataFrame:
-    """Jobs the watermark has left behind when the stream is drained."""
+    """Jobs the stream's mark has left behind when it is drained."""
     path, checkpoint = scratch_path(spark, "stream-expiry"), scratch_path(spark, "checkpoint")
     monitor_stream(journal_of(table_stream(spark, sf, "events")), path, checkpoint).awaitTermination()
-    alerts = spark.read.schema(f"{ALERT_SCHEMA}, batch bigint").option("basePath", path).parquet(path)
-    return alerts.filter(F.col("alert") == "expired").select("job_id", "state", "updated_at")
+    return standing_alerts(spark, path).filter(F.col("alert") == "expired").select("job_id", "state", "updated_at")
 
 
 @query("stream_audit", f"with {sql.JOURNAL} select job_id, min(ts) as ts from journal where state = 'ready' group by job_id")

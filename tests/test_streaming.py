@@ -11,7 +11,7 @@ from parcelry.streaming import extract as extract_module
 from parcelry.streaming.adapt import advise_stream, latest_advice
 from parcelry.streaming.audit import audit_stream, late_entries, settle_audit
 from parcelry.streaming.extract import extract_stream, read_extracted
-from parcelry.streaming.monitor import ALERT_SCHEMA, monitor_stream
+from parcelry.streaming.monitor import ALERT_SCHEMA, late_rows, monitor_stream, standing_alerts
 
 ONE_FILE = {"maxFilesPerTrigger": "1"}
 
@@ -166,6 +166,56 @@ def test_monitor_raises_each_alert_once(spark, tmp_path):
     records = spark.createDataFrame([(1, "running", BASE, BASE + 1500, BASE), (9, "running", BASE + 20, BASE + 6000, BASE + 6000)],
                                     "job_id int, state string, created_at bigint, updated_at bigint, progressed_at bigint")
     assert [r["job_id"] for r in journal.expired(records, BASE + 5400).collect()] == [1]
+    assert [(r["job_id"], r["ts"]) for r in late_rows(spark, out).collect()] == [(1, BASE + 30)]
+
+
+def test_monitor_revokes_what_late_rows_disprove(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    batches = [
+        [(1, BASE, 1, "advance", "running"), (2, BASE + 9000, 2, "advance", "running")],
+        [(1, BASE + 8000, 3, "other", "running"), (3, BASE + 100, 4, "other", "failed")],
+    ]
+    for i, rows in enumerate(batches):
+        add_file(spark.createDataFrame(rows, EVENTS), source, str(i))
+    out = str(tmp_path / "out")
+    monitor_stream(stream_of(spark, source, spark.createDataFrame([], EVENTS).schema), out, str(tmp_path / "cp")).awaitTermination()
+    alerts = spark.read.schema(f"{ALERT_SCHEMA}, batch bigint").option("basePath", out).parquet(out).collect()
+    got = {(r["batch"], r["job_id"], r["alert"], r["due_at"] - BASE, r["revoked"]) for r in alerts}
+    assert got == {
+        (0, 1, "stale", 121, False), (0, 1, "expired", 3601, False), (1, 1, "stale", 121, True), (1, 1, "expired", 3601, True),
+        (1, 1, "stale", 8121, False), (1, 3, "expired", 3701, False),
+    }
+    assert {(r["job_id"], r["alert"]) for r in standing_alerts(spark, out).collect()} == {(1, "stale"), (3, "expired")}
+    assert {r["job_id"] for r in late_rows(spark, out).collect()} == {1, 3}
+
+
+def test_expiry_of_shuffled_files_is_that_of_the_journal(spark, tmp_path):
+    import random
+
+    rng = random.Random(12)
+    source = tmp_path / "in"
+    source.mkdir()
+    rows = [(rng.randrange(60), BASE + rng.randrange(90_000), i, rng.choice(["advance", "other"]), rng.choice(["queued", "running", "ready", "failed"]))
+            for i in range(420)]
+    for i in range(140):
+        pd_rows = spark.createDataFrame(rows[i * 3 : i * 3 + 3], EVENTS)
+        add_file(pd_rows, source, f"{i:03d}")
+    out = str(tmp_path / "out")
+    stream = spark.readStream.schema(pd_rows.schema).option("maxFilesPerTrigger", "35").parquet(str(source))
+    monitor_stream(stream, out, str(tmp_path / "cp")).awaitTermination()
+    whole = spark.createDataFrame(rows, EVENTS)
+    records = whole.groupBy("job_id").agg(
+        F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"),
+        F.max(F.when(F.col("kind") == "advance", F.col("ts"))).alias("progressed_at"),
+    )
+    now = max(r[1] for r in rows) - 600
+    for alert, judge in (("expired", journal.expired), ("stale", journal.needs_advance)):
+        want = {(r["job_id"], r["updated_at"]) for r in judge(records, now).collect()}
+        if alert == "stale":  # a queued job newer than the mark is not yet due
+            want = {w for w in want if w[1] < now}
+        got = standing_alerts(spark, out).filter(F.col("alert") == alert).collect()
+        assert {(r["job_id"], r["updated_at"]) for r in got} == want and len(got) == len(want)
 
 
 def ready_rows(spark, jobs):
