@@ -1,108 +1,81 @@
-"""Budget advice on a live attempt journal, one small state per job."""
+"""Budget advice on a live attempt journal, folded in event order whatever the order of files.
+
+Every batch's steps stay in a ledger. Once events are ``hold`` seconds past a step, it is folded into its job's counters; a
+step that comes after that has its job folded anew from the ledger, so advice is revised and never wrong for good.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import astuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from parcelry.operators.budgets import FILE_BYTES, TABLE_BYTES, TABLE_ROWS, halvings_to_floor
+from parcelry.operators.budgets import EARLIEST, Budgets, fold_stalls
+from parcelry.streaming.ledger import Ledger
 from parcelry.streaming.run import start_batches, write_batch
 
-ADVICE_SCHEMA = "job_id bigint, file_bytes bigint, table_bytes bigint, table_rows bigint, failed boolean"
-STATE_SCHEMA = "fruitless int, file_bytes bigint, table_bytes bigint, table_rows bigint, failed boolean"
-
-
-# What a journal row does to the counter, as one small number per row.
-ADVANCE, FILE, TABLE, RIGID = 0, 1, 2, 3
-
-
-def count_stalls(codes: np.ndarray, carried: int, max_attempts: int) -> tuple[np.ndarray, int]:
-    """Bounds spent by the stalls among ordered steps, and the attempts left on the counter.
-
-    An attempt stalls when its run already used up the counter, that is at every
-    ``max_attempts``-th attempt after the first; the first run goes on where the last batch ended.
+HOLD_SECONDS = 600
+LONG, TEXT = T.LongType(), T.StringType()
+STEPS = T.StructType([*[T.StructField(n, LONG) for n in ("job_id", "ts", "event_id")], *[T.StructField(n, TEXT) for n in ("kind", "spends")]])
+STATE = T.StructType(
+    [
+        T.StructField("job_id", LONG),
+        T.StructField("fruitless", T.IntegerType()),
+        T.StructField("files", LONG),
+        T.StructField("tables", LONG),
+        T.StructField("failed", T.BooleanType()),
+    ]
+)
+#: Newest step seen, the time up to which steps are folded, the batch whose state holds them, and the bounds jobs start from.
+HEAD = T.StructType([T.StructField(n, LONG) for n in ("newest", "folded", "state", "file_bytes", "table_bytes", "table_rows", "max_attempts")])
+
+
+def advise_stream(
+    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, hold: int = HOLD_SECONDS, **bounds: int
+) -> StreamingQuery:
+    """Streaming twin of the batch budgets: writes the advice of each job that a batch folds steps of.
+
+    A step without a time goes before all others, as in the batch form.
     """
-    advance = codes == ADVANCE
-    attempts = np.cumsum(~advance)
-    before_run = np.maximum.accumulate(np.where(advance, attempts, 0))
-    first_run = np.cumsum(advance) == 0
-    nth = attempts - before_run + np.where(first_run, carried, 0)
-    stalled = ~advance & (nth > max_attempts) & ((nth - 1) % max_attempts == 0)
-    last = int(nth[-1])
-    return codes[stalled], (last - 1) % max_attempts + 1 if last else 0
-
-
-class BudgetAdviser(StatefulProcessor):
-    """Halves what a job's stalled attempts spend; fails the job when nothing can shrink."""
-
-    def __init__(self, file_bytes: int, table_bytes: int, table_rows: int, max_attempts: int) -> None:
-        self.start = (0, max(1, file_bytes), max(1, table_bytes), max(1, table_rows), False)
-        self.max_attempts = max_attempts
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.budgets = handle.getValueState("budgets", STATE_SCHEMA)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fruitless, file_bytes, table_bytes, table_rows, failed = (
-            self.budgets.get() if self.budgets.exists() else self.start
+    start = Budgets(**bounds)
+
+    def record(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ledger = Ledger(spark, path)
+        timed = batch.filter(F.col("kind").isin("attempt", "advance")).withColumn("ts", F.coalesce("ts", F.lit(EARLIEST + 1)))
+        ledger.write(timed.select(*STEPS.fieldNames()), "steps", batch_id)
+        came = ledger.read("steps", batch_id, STEPS)
+        newest = came.agg(F.max("ts")).first()[0]
+        before = ledger.read("head", batch_id - 1, HEAD).first()
+        newest, folded, held = (
+            (max(before["newest"], EARLIEST if newest is None else newest), before["folded"], before["state"]) if before else (newest or 0, EARLIEST, -1)
         )
-        # One job's steps of one micro-batch: three numbers a row, bounded by the trigger's file limit.
-        steps = pd.concat([pdf[["ts", "event_id", "code"]] for pdf in rows])
-        if not failed:
-            ordered = steps["code"].to_numpy()[np.lexsort((steps["event_id"], steps["ts"]))]
-            spent, fruitless = count_stalls(ordered, fruitless, self.max_attempts)
-            files, tables = np.cumsum(spent == FILE), np.cumsum(spent == TABLE)
-            table_room = max(halvings_to_floor(table_bytes), halvings_to_floor(table_rows))
-            broken = (spent == RIGID) | (files > halvings_to_floor(file_bytes)) | (tables > table_room)
-            failed = bool(broken.any())
-            usable = int(np.argmax(broken)) if failed else len(spent)
-            if usable:
-                file_bytes >>= int(files[usable - 1])
-                table_bytes = max(1, table_bytes >> int(tables[usable - 1]))
-                table_rows = max(1, table_rows >> int(tables[usable - 1]))
-        self.budgets.update((int(fruitless), int(file_bytes), int(table_bytes), int(table_rows), failed))
-        yield pd.DataFrame(
-            [(key[0], file_bytes, table_bytes, table_rows, failed)],
-            columns=["job_id", "file_bytes", "table_bytes", "table_rows", "failed"],
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def advise(
-    events: DataFrame,
-    file_bytes: int = FILE_BYTES,
-    table_bytes: int = TABLE_BYTES,
-    table_rows: int = TABLE_ROWS,
-    max_attempts: int = 2,
-) -> DataFrame:
-    """Streaming twin of the batch budgets; one row per job and micro-batch."""
-    spends = F.col("spends")
-    attempt = F.when(spends == "file", FILE).when(spends == "table", TABLE).otherwise(RIGID)
-    code = F.when(F.col("kind") == "advance", ADVANCE).otherwise(attempt).cast("byte")
-    steps = events.filter(F.col("kind").isin("attempt", "advance")).select("job_id", "ts", "event_id", code.alias("code"))
-    return steps.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=BudgetAdviser(file_bytes, table_bytes, table_rows, max_attempts),
-        outputStructType=ADVICE_SCHEMA,
-        outputMode="Update",
-        timeMode="None",
-    )
-
-
-def advise_stream(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, **bounds: int) -> StreamingQuery:
-    advice = advise(events, **bounds)
-    return start_batches(advice, lambda batch, n: write_batch(batch, path, n), checkpoint, "update", trigger)
+        upto = max(folded, newest - hold)
+        behind = came.filter(F.col("ts") <= folded).select("job_id").distinct()
+        if upto > folded or not behind.isEmpty():
+            steps, known = ledger.every("steps", STEPS), ledger.read("state", held, STATE)
+            again = steps.filter(F.col("ts") <= folded).join(behind, "job_id", "left_semi")
+            due = steps.filter((F.col("ts") > folded) & (F.col("ts") <= upto)).unionByName(again)
+            carried = known.join(behind, "job_id", "left_anti")
+            ledger.write(fold_stalls(due, start, carried).select(*STATE.fieldNames()), "state", batch_id)
+            changed = ledger.read("state", batch_id, STATE).join(due.select("job_id").distinct(), "job_id", "left_semi")
+            write_batch(start.advice(changed), path, batch_id)
+            held = batch_id
+        ledger.write(spark.createDataFrame([(newest, upto, held, *astuple(start))], HEAD), "head", batch_id)
+
+    return start_batches(events, record, checkpoint, trigger=trigger)
 
 
 def latest_advice(spark: SparkSession, path: str) -> DataFrame:
-    """The newest advice per job."""
-    rows = spark.read.schema(f"{ADVICE_SCHEMA}, batch bigint").option("basePath", path).parquet(path)
-    names = ["file_bytes", "table_bytes", "table_rows", "failed"]
-    newest = rows.groupBy("job_id").agg(F.max_by(F.struct(*names), "batch").alias("advice"))
-    return newest.select("job_id", *[F.col(f"advice.{name}").alias(name) for name in names])
+    """Advice per job from every step so far, those still held back included; it changes nothing in the ledger."""
+    ledger = Ledger(spark, path)
+    head = ledger.read("head", ledger.last("head"), HEAD).first()
+    if head is None:
+        none = spark.createDataFrame([], STATE)
+        return Budgets().advice(none)
+    start = Budgets(*[head[name] for name in ("file_bytes", "table_bytes", "table_rows", "max_attempts")])
+    waiting = ledger.every("steps", STEPS).filter(F.col("ts") > head["folded"])
+    return start.advice(fold_stalls(waiting, start, ledger.read("state", head["state"], STATE)))

@@ -116,28 +116,39 @@ def test_advice_carries_over_restarts(spark, tmp_path):
     assert got == want
 
 
-def test_stalls_are_counted_like_the_replay():
+def test_carried_folds_equal_one_fold(spark):
     import random
 
-    import numpy as np
-
-    from parcelry.streaming.adapt import ADVANCE, count_stalls
-
     rng = random.Random(4)
-    for _ in range(300):
-        limit, counter = rng.randint(1, 4), 0
-        carried = counter = rng.randint(0, limit)
-        codes, want = [rng.choice([0, 1, 1, 2, 2, 3]) for _ in range(rng.randint(1, 25))], []
-        for code in codes:
-            if code == ADVANCE:
-                counter = 0
-                continue
-            if counter >= limit:
-                want.append(code)
-                counter = 0
-            counter += 1
-        spent, left = count_stalls(np.array(codes, dtype=np.int8), carried, limit)
-        assert (list(spent), left) == (want, counter)
+    kinds, spent = ["attempt", "advance"], ["file", "table", "file", "table", "index"]
+    rows = [(rng.randint(1, 25), i, i, rng.choices(kinds, [6, 1])[0], rng.choices(spent, [9, 9, 9, 9, 1])[0]) for i in range(900)]
+    whole = spark.createDataFrame(rows, STEPS)
+    for limit, hot in ((1, 2_000_000), (2, 2_000_000), (3, 10)):
+        start, folded = budgets.Budgets(16, 64, 4, limit), None
+        for low in range(0, 900, 300):
+            part = whole.filter((F.col("ts") >= low) & (F.col("ts") < low + 300))
+            before = folded if folded is not None else spark.createDataFrame([], "job_id bigint, fruitless int, files bigint, tables bigint, failed boolean")
+            rows_of = budgets.fold_stalls(part, start, before, hot).select("job_id", "fruitless", "files", "tables", "failed").collect()
+            folded = spark.createDataFrame(rows_of, "job_id bigint, fruitless int, files bigint, tables bigint, failed boolean")
+        got = {r["job_id"]: tuple(r) for r in start.advice(folded).collect()}
+        assert got == {r["job_id"]: tuple(r) for r in budgets.stall_budgets(whole, 16, 64, 4, limit).collect()}
+
+
+def test_advice_of_shuffled_files_is_that_of_the_journal(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 12), rng.randrange(20_000), i, rng.choices(["attempt", "advance"], [6, 1])[0], rng.choice(["file", "table"])) for i in range(560)]
+    source = tmp_path / "in"
+    source.mkdir()
+    whole = spark.createDataFrame(rows, STEPS)
+    for i in range(140):
+        add_file(spark.createDataFrame(rows[i * 4 : i * 4 + 4], STEPS), source, f"{i:03d}")
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", "35").parquet(str(source))
+    out = str(tmp_path / "out")
+    advise_stream(stream, out, str(tmp_path / "cp"), table_rows=6).awaitTermination()
+    got = {r["job_id"]: tuple(r) for r in latest_advice(spark, out).collect()}
+    assert got == {r["job_id"]: tuple(r) for r in budgets.stall_budgets(whole, table_rows=6).collect()}
 
 
 EVENTS = "job_id bigint, ts bigint, event_id bigint, kind string, state string"
