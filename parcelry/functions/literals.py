@@ -22,18 +22,27 @@ ROWS_PER_INSERT = 100
 
 
 def canonical_text(column: Column, data_type: T.DataType) -> Column:
-    """One stable text form per type: fixed-point doubles, microsecond timestamps, ISO dates."""
+    """One stable text form per type, from which the value can be read back: microsecond timestamps, ISO dates, and
+    doubles with two decimals where these are the whole value, else with as many digits as it takes.
+    """
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return column.cast("decimal(18,2)").cast("string")
+        fixed, exact = column.try_cast("decimal(18,2)"), column.cast("string")
+        whole = (fixed.cast(data_type) == column) & ((column != 0) | (exact == "0.0"))  # a negative zero keeps its sign
+        return F.when(whole, fixed.cast("string")).otherwise(exact)
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(data_type, T.BooleanType):
         return column.cast("int").cast("string")
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(column)
+        return F.to_json(column, {"ignoreNullFields": "false"})
     return column.cast("string")
 
 
+def quoted_name(name: str) -> str:
+    """A name between backticks, those inside it doubled."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def sql_literal(text: Column) -> Column:
     """``NULL`` unquoted, anything else quoted and escaped."""
     escaped = text
@@ -43,7 +52,7 @@ def sql_literal(text: Column) -> Column:
 
 
 def _field_literal(field: T.StructField) -> Column:
-    text = canonical_text(F.col(f"`{field.name}`"), field.dataType)
+    text = canonical_text(F.col(quoted_name(field.name)), field.dataType)
     if isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         # The text of a number or a time holds nothing to escape.
         return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("NULL"))
@@ -70,7 +79,7 @@ def row_size(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 
 
 def _literal_size(field: T.StructField) -> Column:
-    column = F.col(f"`{field.name}`")
+    column = F.col(quoted_name(field.name))
     if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
         written = F.octet_length(_field_literal(field))
         return F.when(column.isNull(), 4).when(F.year(column).between(0, 9999), STAMP_BYTES + 2).otherwise(written)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.functions.literals import ROWS_PER_INSERT, row_tuple
+from parcelry.functions.literals import ROWS_PER_INSERT, quoted_name, row_tuple
 from parcelry.operators.ordered import number_in_group
 from parcelry.operators.slicing import Slices
 
@@ -31,7 +31,7 @@ def _rendered(sliced: Slices, columns: Sequence[str]) -> DataFrame:
 
 def _statements(rendered: DataFrame, table: str) -> DataFrame:
     joined = F.expr("listagg(tuple, ',') within group (order by row_in_slice)")
-    statement = F.concat(F.lit(f"INSERT INTO `{table}` VALUES "), F.col("tuples"), F.lit(";\n"))
+    statement = F.concat(F.lit(f"INSERT INTO {quoted_name(table)} VALUES "), F.col("tuples"), F.lit(";\n"))
     return (
         rendered.groupBy("slice", "batch")
         .agg(F.count("*").alias("rows"), joined.alias("tuples"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelry.functions.literals import quoted_name
 from parcelry.functions.scalars import to_integer
 
 LOCATION = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"  # scheme and host in front of a path
@@ -56,20 +57,29 @@ def _trusted_estimates(spark: SparkSession, paths: dict[str, str], estimates: di
     return {row["name"]: row["rows"] for row in hints.select("name", to_integer(F.col("hint")).alias("rows")).collect()}
 
 
+def type_text(data_type: T.DataType) -> str:
+    """A type as its definition spells it: type names in upper case, names of nested fields as they are."""
+    if isinstance(data_type, T.ArrayType):
+        return f"ARRAY<{type_text(data_type.elementType)}>"
+    if isinstance(data_type, T.MapType):
+        return f"MAP<{type_text(data_type.keyType)},{type_text(data_type.valueType)}>"
+    if isinstance(data_type, T.StructType):
+        plain = lambda name: name if re.fullmatch(r"[A-Za-z_]\w*", name, re.ASCII) else quoted_name(name)
+        return f"STRUCT<{','.join(f'{plain(f.name)}:{type_text(f.dataType)}' for f in data_type.fields)}>"
+    return data_type.simpleString().upper()
+
+
 def structure_text(table: str, schema: T.StructType) -> str:
     """The table's definition, framed so a reload drops and recreates it."""
     columns = ",\n".join(
-        f"  `{field.name}` {field.dataType.simpleString().upper()}{'' if field.nullable else ' NOT NULL'}"
-        for field in schema.fields
-    )
-    return (
-        f"--\n-- Table structure for table `{table}`\n--\n\n"
-        f"DROP TABLE IF EXISTS `{table}`;\nCREATE TABLE `{table}` (\n{columns}\n);\n"
+        f"  {quoted_name(field.name)} {type_text(field.dataType)}{'' if field.nullable else ' NOT NULL'}" for field in schema.fields
     )
+    name = quoted_name(table)
+    return f"--\n-- Table structure for table {name}\n--\n\nDROP TABLE IF EXISTS {name};\nCREATE TABLE {name} (\n{columns}\n);\n"
 
 
 def data_header(table: str) -> str:
-    return f"\n--\n-- Dumping data for table `{table}`\n--\n\n"
+    return f"\n--\n-- Dumping data for table {quoted_name(table)}\n--\n\n"
 
 
 def structure_segments(tables: dict[str, DataFrame]) -> DataFrame:

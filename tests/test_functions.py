@@ -116,3 +116,35 @@ def test_scalars(spark):
     assert apply(spark, texts, to_integer) == want
     assert apply(spark, ["é" * 300, "é" * 301, None], bounded_message) == ["é" * 300, "é" * 300 + "…", None]
     assert spark.range(1).select(iso_utc(F.lit(1706659200))).first()[0] == "2024-01-31T00:00:00Z"
+
+
+def test_numbers_and_null_fields_survive_rendering(spark):
+    values = [0.1, 1 / 3, 2.5, 1e300, -5e-324, 0.005, 123456789.125, 99999999999999.99, -0.0, 0.0, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(v, (v, None), [None, v]) for v in values], "v double, `s``t` struct<a: double, b: string>, l array<double>")
+    import json
+    import math
+
+    from parcelry.functions.literals import canonical_text, row_size, row_tuple
+
+    texts = df.select(*[canonical_text(F.col(f"`{n.replace('`', '``')}`"), df.schema[n].dataType) for n in df.columns]).collect()
+    for value, (text, nested, listed) in zip(values, texts):
+        if value is None:
+            assert text is None
+        elif math.isnan(value):
+            assert text == "NaN"
+        else:
+            assert float(text) == value and math.copysign(1, float(text)) == math.copysign(1, value)
+        assert set(json.loads(nested)) == {"a", "b"} and len(json.loads(listed)) == 2
+    assert [t[0] for t in texts[:3]] == ["0.10", "0.3333333333333333", "2.50"]
+    sizes = df.select(row_size(df).alias("n"), F.octet_length(row_tuple(df)).alias("m")).collect()
+    assert all(r["n"] == r["m"] for r in sizes)
+    small = spark.createDataFrame([(0.1,), (1.5,), (3e38,)], "f float")
+    assert [r[0] for r in small.select(canonical_text(F.col("f"), small.schema["f"].dataType)).collect()] == ["0.10", "1.50", "3.0E38"]
+
+
+def test_definitions_keep_names(spark):
+    from parcelry.sources.tables import structure_text
+
+    schema = spark.createDataFrame([], "`a``b` struct<Inner: map<string,array<double>>, `x y`: decimal(5,2)>").schema
+    text = structure_text("t`u", schema)
+    assert "`a``b` STRUCT<Inner:MAP<STRING,ARRAY<DOUBLE>>,`x y`:DECIMAL(5,2)>" in text and "CREATE TABLE `t``u` (" in text
