@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelry.functions.cursors import encode_cursor
 from parcelry.functions.paths import path_key, top_root
 from parcelry.operators.numbering import number_rows
-from parcelry.operators.ordered import number_in_group
 
 MANIFEST_PAGE = 1000
-DIGEST_ROWS = 500_000
-DIGEST_BLOCK = 10_000
 
 
 def canonical_order(df: DataFrame) -> DataFrame:
@@ -49,32 +51,72 @@ def manifest_page(df: DataFrame, after: Sequence[str] | None, n: int = MANIFEST_
     return rows.orderBy("_key").limit(n).drop("_key")
 
 
-def files_digest(df: DataFrame, group: str, exact_rows: int = DIGEST_ROWS) -> DataFrame:
-    """Count, bytes, top-level roots and SHA-256 of the sorted path list, per file set.
+def files_digest(df: DataFrame, group: str) -> DataFrame:
+    """Count, bytes, top-level roots and SHA-256 of the sorted path list joined by LF, per file set of any size.
 
-    A valid selection holds at most 500,000 entries and gets the plain digest of its paths
-    joined by LF. A larger set has no list that fits a task: it gets the digest of the
-    digests of its blocks of 10,000 paths, and ``digest`` says which one it is.
+    A list's digest is one sequential pass, so a set is sorted into one task, which spills, and hashed as it streams by:
+    no cell ever holds the list. ``tree_digest`` spreads a set over tasks.
     """
-    joined = F.expr("listagg(path, '\n') within group (order by path)")
-    counts = [F.count("*").alias("files"), F.sum("size").alias("bytes")]
-    roots = F.array_join(F.array_sort(F.collect_set(top_root(F.col("path")))), ",").alias("roots")
-    whole = [*counts, roots, F.sha2(joined, 256).alias("sha256"), F.lit("paths").alias("digest")]
-    large = df.groupBy(group).agg(*counts).filter(F.col("files") > exact_rows)
-    if large.isEmpty():
-        return df.groupBy(group).agg(*whole)
-
-    # A large set is counted and rooted by mergeable aggregates and hashed block by block.
-    exact = df.join(large.select(group), group, "left_anti").groupBy(group).agg(*whole)
-    rows = df.join(large.select(group), group, "left_semi").select(group, "path", "size")
-    placed = number_in_group(rows, [group], ["path"], "_rn", exact_rows)
-    block = F.floor((F.col("_rn") - 1) / F.lit(DIGEST_BLOCK))
-    blocks = placed.groupBy(group, block.alias("_block")).agg(F.sha2(joined, 256).alias("_hash"))
-    chained = F.expr("listagg(_hash, '\n') within group (order by _block)")
-    hashes = blocks.groupBy(group).agg(F.sha2(chained, 256).alias("sha256"), F.lit("blocks").alias("digest"))
-    rooted = rows.groupBy(group, top_root(F.col("path")).alias("_root")).agg(F.count("*").alias("_n"))
-    listed = rooted.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list("_root")), ",").alias("roots"))
-    return exact.unionByName(large.join(listed, group).join(hashes, group))
+    rooted = df.groupBy(group, top_root(F.col("path")).alias("_root")).agg(F.count("*").alias("_n"), F.sum("size").alias("_bytes"))
+    roots = F.array_join(F.array_sort(F.collect_list("_root")), ",")
+    totals = rooted.groupBy(group).agg(F.sum("_n").alias("files"), F.sum("_bytes").alias("bytes"), roots.alias("roots"))
+    hashed = _list_digests(df, [group]).select(F.col(group).alias("_group"), "sha256")
+    joined = totals.join(hashed, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+    return joined.withColumn("digest", F.lit("paths"))
+
+
+def range_digests(df: DataFrame, group: str, depth: int = 1) -> DataFrame:
+    """Count and digest of each range of a file set: the paths that share their first ``depth`` components.
+
+    A range's digest depends on its own paths alone, so ranges that did not change keep theirs.
+    """
+    own = F.array_join(F.slice(path_key(F.col("path")), 1, depth), "/")
+    return _list_digests(df.select(group, own.alias("range"), "path"), [group, "range"])
+
+
+def tree_digest(ranges: DataFrame, group: str) -> DataFrame:
+    """Files and digest per file set from its ranges' digests, whatever its size; ``ranges`` may be merged from several lists."""
+    line = F.concat_ws("\t", "range", F.col("files").cast("string"), "sha256")
+    listed = _list_digests(ranges.select(group, F.struct("range", line.alias("line")).alias("path")), [group], "path.line")
+    files = ranges.groupBy(F.col(group).alias("_group")).agg(F.sum("files").alias("_files"))
+    joined = listed.withColumnRenamed("files", "ranges").join(files, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.select(group, F.col("_files").alias("files"), "ranges", "sha256")
+
+
+def _list_digests(df: DataFrame, groups: list[str], text: str = "path") -> DataFrame:
+    """Rows and SHA-256 of ``text`` joined by LF in the order of ``path``, per group; null paths are not listed."""
+    rows = df.filter(F.col("path").isNotNull()).repartition(*groups).sortWithinPartitions(*groups, "path")
+    kept = rows.select(*groups, F.col(text).alias("_text"))
+    schema = T.StructType([*[kept.schema[name] for name in groups], T.StructField("files", T.LongType()), T.StructField("sha256", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, digest, files = None, None, 0
+        for batch in batches:
+            done = []
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(len(groups))], strict=True))
+            for key, members in groupby(zip(keys, batch.column(len(groups)).to_pylist(), strict=True), key=itemgetter(0)):
+                part = [text for _, text in members]
+                if key != known or digest is None:
+                    if digest is not None:
+                        done.append((*known, files, digest.hexdigest()))
+                    known, digest, files = key, hashlib.sha256(), 0
+                elif files:
+                    digest.update(b"\n")
+                digest.update("\n".join(part).encode())
+                files += len(part)
+            if done:
+                yield _digest_rows(done, batch.schema, groups)
+            seen = batch.schema
+        if digest is not None:
+            yield _digest_rows([(*known, files, digest.hexdigest())], seen, groups)
+
+    return kept.mapInArrow(run, schema)
+
+
+def _digest_rows(done: list[tuple], schema: pa.Schema, groups: list[str]) -> pa.RecordBatch:
+    kinds = [*[schema.field(i).type for i in range(len(groups))], pa.int64(), pa.string()]
+    columns = [pa.array(values, kind) for values, kind in zip(zip(*done, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, [*groups, "files", "sha256"])
 
 
 def version_pin(observations: DataFrame, group: Sequence[str] = ("path",)) -> DataFrame:

@@ -85,14 +85,15 @@ def audit_page(
     per_page: int = 50,
     date_from: str | None = None,
     date_to: str | None = None,
-    max_per_page: int = 200,
+    max_per_page: int | None = None,
 ) -> DataFrame:
-    """One newest-first page of audit entries with the total; ties keep append order.
+    """One newest-first page of audit entries with the total; ties keep append order. ``max_per_page`` is a limit of the caller's.
 
     ``entries`` carries ``ts`` (Unix seconds) and ``seq``. Counts per day choose the days
     the page lies in, so a far page does not sort the log.
     """
-    page, per_page = max(1, page), min(max_per_page, max(1, per_page))
+    page, per_page = max(1, page), max(1, per_page)
+    per_page = per_page if max_per_page is None else min(max_per_page, per_page)
     rows = day_window(entries, date_from, date_to)
     day = F.floor(F.col("ts") / 86400).cast("bigint")
     days = rows.groupBy(day.alias("day")).count().orderBy(F.desc("day")).collect()
@@ -112,6 +113,17 @@ def audit_page(
     return picked.withColumn("ts", iso_utc(F.col("ts"))).withColumn("total", F.lit(total).cast("bigint"))
 
 
+def audit_listing(entries: DataFrame, page: int = 1, per_page: int = 50, **limits: object) -> DataFrame:
+    """One row: the page's ``entries`` in order, and ``total``, ``page`` and ``per_page`` even where the page is empty."""
+    rows = audit_page(entries, page, per_page, **limits).drop("total")
+    size = max(1, per_page) if limits.get("max_per_page") is None else min(limits["max_per_page"], max(1, per_page))
+    newest = lambda a, b: F.when(a["ts"] != b["ts"], F.when(a["ts"] > b["ts"], -1).otherwise(1)).otherwise((a["seq"] - b["seq"]).cast("int"))
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns)), newest).alias("entries"))
+    total = day_window(entries, limits.get("date_from"), limits.get("date_to")).count()
+    numbers = {"total": total, "page": max(1, page), "per_page": size}
+    return listed.select("entries", *[F.lit(value).cast("bigint").alias(name) for name, value in numbers.items()])
+
+
 def parse_day(text: str | None) -> int | None:
     """Unix second a UTC day starts on; an unreadable date is an error rather than an open bound."""
     if not text:

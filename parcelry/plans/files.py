@@ -218,6 +218,19 @@ def _digest(spark: SparkSession, sf: str) -> DataFrame:
     return files.files_digest(sets, "site")
 
 
+@query(
+    "tree_digest",
+    f"""with {sql.PAGE_FILES}, ranges as (
+  select regexp_extract({_host}, '[^.]+$') as site, {_host} as host, count(*) as files, sha256(string_agg(path, chr(10) order by path)) as digest
+  from page_files group by 1, 2)
+select site, cast(sum(files) as bigint) as files, count(*) as ranges,
+  sha256(string_agg(host || chr(9) || files || chr(9) || digest, chr(10) order by host)) as sha256 from ranges group by site""",
+)
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    sets = manifest(spark, sf).withColumn("site", F.regexp_extract(F.substring_index("path", "/", 1), "[^.]+$", 0))
+    return files.tree_digest(files.range_digests(sets, "site"), "site")
+
+
 @query(
     "version_pin",
     """with seen as (

@@ -12,7 +12,7 @@ from parcelry.plans.bindings import journal as events
 from parcelry.plans.bindings import unix
 from parcelry.plans.registry import query
 from parcelry.session import scratch_path
-from parcelry.sources.audit_log import append_audit, read_audit
+from parcelry.sources.audit_log import append_audit, read_audit, rotate_audit
 from parcelry.sources.segment_store import read_segments, write_segments
 
 API_VERSION = 7
@@ -73,6 +73,15 @@ def _retention(spark: SparkSession, sf: str) -> DataFrame:
     return journal.retain(audit_entries(spark, sf), NOW, 10).select("seq", "job_id", "ts")
 
 
+@query("audit_rotation", f"with {sql.JOURNAL}, {READY} select seq, job_id, ts from ready where ts > {NOW} - 10 * 86400")
+def _rotation(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stored log holds after its rotation."""
+    path = scratch_path(spark, "audit")
+    append_audit(audit_entries(spark, sf), path)
+    rotate_audit(spark, path, NOW, 10)
+    return read_audit(spark, path).select("seq", "job_id", "ts")
+
+
 @query(
     "audit_page",
     f"""with {sql.JOURNAL}, {READY}

@@ -126,19 +126,33 @@ def test_build_order(spark):
     assert got == {(1, "table", 0, 0): 0, (1, "table", 1, 0): 1, (1, "table", 1, 1): 2, (1, "structure", 0, 0): 3, (1, "file", 0, 0): 4, (2, "file", 0, 0): 0}
 
 
-def test_digests(spark, monkeypatch):
-    paths = [f"r{i % 3}/f{i:04d}" for i in range(120)]
-    df = spark.createDataFrame([("big", p, 10) for p in paths] + [("small", "x", 1), ("small", "a/b", 2)], "site string, path string, size bigint")
-    exact = {r["site"]: r for r in files.files_digest(df, "site").collect()}
-    assert exact["big"]["sha256"] == hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
-    assert (exact["small"]["files"], exact["small"]["bytes"], exact["small"]["roots"]) == (2, 3, "a,x")
-    monkeypatch.setattr(files, "DIGEST_BLOCK", 50)
-    blocked = {r["site"]: r for r in files.files_digest(df, "site", exact_rows=100).collect()}
-    ordered = sorted(paths)
-    blocks = [hashlib.sha256("\n".join(ordered[i : i + 50]).encode()).hexdigest() for i in range(0, 120, 50)]
-    assert blocked["big"]["sha256"] == hashlib.sha256("\n".join(blocks).encode()).hexdigest()
-    assert (blocked["big"]["digest"], blocked["small"]["digest"]) == ("blocks", "paths")
-    assert blocked["small"]["sha256"] == exact["small"]["sha256"]
+def test_digests(spark):
+    paths = [f"r{i % 3}/f{i:04d}é" for i in range(120)]
+    rows = [("big", p, 10) for p in paths] + [("small", "x", 1), ("small", "a/b", 2), (None, "n", 3), ("none", None, 4)]
+    df = spark.createDataFrame(rows, "site string, path string, size bigint").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # lists go on over many batches
+    try:
+        got = {r["site"]: r for r in files.files_digest(df, "site").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got["big"]["sha256"] == hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+    assert (got["small"]["files"], got["small"]["bytes"], got["small"]["roots"]) == (2, 3, "a,x")
+    assert got[None]["sha256"] == hashlib.sha256(b"n").hexdigest() and got["none"]["sha256"] is None
+
+
+def test_tree_digest_merges(spark):
+    paths = [f"r{i % 3}/f{i:04d}" for i in range(120)] + ["x"]
+    df = spark.createDataFrame([("big", p) for p in paths] + [("small", "a/b")], "site string, path string")
+    ranges = files.range_digests(df, "site")
+    want = []
+    for name in ("r0", "r1", "r2", "x"):
+        own = sorted(p for p in paths if p.split("/")[0] == name)
+        want.append(f"{name}\t{len(own)}\t{hashlib.sha256(chr(10).join(own).encode()).hexdigest()}")
+    got = {r["site"]: r for r in files.tree_digest(ranges, "site").collect()}
+    assert got["big"]["sha256"] == hashlib.sha256("\n".join(want).encode()).hexdigest() and (got["big"]["files"], got["big"]["ranges"]) == (121, 4)
+    one, rest = (files.range_digests(df.filter(c), "site") for c in ("path LIKE 'r1/%'", "path NOT LIKE 'r1/%'"))
+    merged = {r["site"]: r["sha256"] for r in files.tree_digest(one.unionByName(rest), "site").collect()}
+    assert merged == {site: r["sha256"] for site, r in got.items()}
 
 
 def test_version_pins(spark):

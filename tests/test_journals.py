@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelry.operators import journal, paging, selection, telemetry
-from parcelry.sources.audit_log import append_audit, read_audit
+from parcelry.sources import audit_log
+from parcelry.sources.audit_log import AUDIT_SCHEMA, append_audit, read_audit, rotate_audit
 from parcelry.sources.samples import read_samples
 
 NOW = 1_706_659_200
@@ -104,6 +105,10 @@ def test_audit_pages(log):
     assert walked == [seq for _, seq in want]
     assert paging.audit_page(log, 99, 8).count() == 0
     assert paging.audit_page(log, 0, 0).count() == 1
+    assert paging.audit_page(log, 1, 500).count() == 59
+    third, beyond = paging.audit_listing(log, 3, 8).first(), paging.audit_listing(log, 99, 8).first()
+    assert [e["seq"] for e in third["entries"]] == [seq for _, seq in want[16:24]] and third["total"] == 59
+    assert (beyond["entries"], beyond["total"], beyond["page"], beyond["per_page"]) == ([], 59, 99, 8)
 
 
 def test_day_windows(log):
@@ -115,6 +120,37 @@ def test_day_windows(log):
         paging.day_window(log, "yesterday", None)
 
 
+def test_rotation_of_the_stored_log(spark, tmp_path, monkeypatch):
+    path, day = str(tmp_path / "log"), 86400
+    stamps = [None, *[NOW - i * day // 4 for i in range(40)]]
+    entries = spark.createDataFrame([{**entry(i, ts)} for i, ts in enumerate(stamps)], AUDIT_SCHEMA)
+    append_audit(entries, path)
+    now = NOW + day // 3
+    want = {i for i, ts in enumerate(stamps) if ts is not None and ts > now - 5 * day}
+
+    # The first rotation dies once its rewrite is committed; an entry is appended before the next one ends it.
+    real, calls = audit_log._end_rotations, []
+
+    def dies(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        real(*args)
+
+    monkeypatch.setattr(audit_log, "_end_rotations", dies)
+    with pytest.raises(RuntimeError, match="killed"):
+        rotate_audit(spark, path, now, 5)
+    assert {r["seq"] for r in read_audit(spark, path).collect()} >= want
+    edge = now - 5 * day
+    append_audit(spark.createDataFrame([entry(99, edge + 1)], AUDIT_SCHEMA), path)
+    for _ in range(2):
+        rotate_audit(spark, path, now, 5)
+        assert sorted(r["seq"] for r in read_audit(spark, path).collect()) == sorted(want | {99})
+    rotate_audit(spark, path, now + 100 * day, 5)
+    assert not (tmp_path / "log").exists()
+    rotate_audit(spark, path, now, 5)
+
+
 def test_retention(log):
     kept = {r["seq"] for r in journal.retain(log, NOW, 1).collect()}
     assert kept == {r["seq"] for r in log.collect() if r["ts"] is not None and r["ts"] > NOW - 86400}
