@@ -23,16 +23,25 @@ def missing_tables(selection: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def classify_files(selection: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Each requested file is kept, vanished, or out of bounds; hostility is judged first."""
+    """Each requested file is kept, vanished, or out of bounds; hostility is judged first.
+
+    Where the manifest tells (``inside``), a link whose target lies outside the root is out of bounds.
+    """
     files = selection.filter(F.col("kind") == "file").withColumn("_hostile", is_hostile(F.col("name")))
     path = F.when(~F.col("_hostile"), resolved(F.col("name")))
     files = files.withColumn("_path", scattered(path, "job_id", "ordinal"))
-    known = manifest.select(F.col("path").alias("_path")).distinct().withColumn("_known", F.lit(True))
-    label = F.when(F.col("_hostile"), "out_of_bounds").when(F.col("_known"), "kept").otherwise("vanished")
+    known = _known_paths(manifest, "_known")
+    label = F.when(F.col("_hostile") | ~F.col("_known"), "out_of_bounds").when(F.col("_known"), "kept").otherwise("vanished")
     joined = files.join(known, "_path", "left")
     return joined.select("job_id", "ordinal", "name", label.alias("class"))
 
 
+def _known_paths(manifest: DataFrame, flag: str) -> DataFrame:
+    """(_path, flag) per path of the manifest; the flag is false where the path resolves outside the root."""
+    inside = F.col("inside") if "inside" in manifest.columns else F.lit(True)
+    return manifest.select(F.col("path").alias("_path"), inside.alias("_inside")).groupBy("_path").agg(F.min("_inside").alias(flag))
+
+
 def selection_overlap(selection: DataFrame) -> DataFrame:
     """Names a request lists both as a whole table and as structure only."""
     both = selection.filter(F.col("kind").isin(TABLE_KINDS)).groupBy("job_id", "name").agg(
@@ -88,7 +97,7 @@ def selection_verdict(
         .withColumn("_table", scattered(F.when(is_table, name), "job_id", "name"))
     )
     tables = catalog.select(F.col("name").alias("_table")).distinct().withColumn("in_catalog", F.lit(True))
-    paths = manifest.select(F.col("path").alias("_path")).distinct().withColumn("on_disk", F.lit(True))
+    paths = _known_paths(manifest, "on_disk")
     checked = checked.join(tables, "_table", "left").join(paths, "_path", "left")
     repeated = (F.col("whole") > 1) | (F.col("bare") > 1) | (F.col("files") > 1)
     vanished = is_file & ~hostile & F.col("on_disk").isNull()
@@ -98,10 +107,10 @@ def selection_verdict(
         F.max((F.col("whole") > 0) & (F.col("bare") > 0)).alias("overlap"),
         F.max(is_file & is_restricted(name)).alias("restricted"),
         F.max(is_table & F.col("in_catalog").isNull()).alias("no_table"),
-        F.max(hostile).alias("out_of_bounds"),
+        F.max(hostile | (is_file & ~F.coalesce("on_disk", F.lit(True)))).alias("out_of_bounds"),
         F.max(vanished).alias("vanished"),
         F.max(is_table).alias("has_table"),
-        F.max(is_file & ~hostile & F.col("on_disk").isNotNull()).alias("has_kept"),
+        F.max(is_file & ~hostile & F.coalesce("on_disk", F.lit(False))).alias("has_kept"),
     )
     strict = strict_of(F.col("strict"))
     bad_flag = F.col("strict").isNotNull() & ~F.col("strict").isin("true", "false")

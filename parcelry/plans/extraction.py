@@ -22,7 +22,7 @@ from parcelry.plans.registry import query
 from parcelry.plans.tables import NUMBERED_ORDERS, ORDERS_DDL
 from parcelry.session import scratch_path, scratch_scope
 from parcelry.sources.audit_log import append_audit
-from parcelry.sources.files import MANIFEST_SCHEMA, file_manifest, read_parts
+from parcelry.sources.files import MANIFEST_SCHEMA, file_manifest, read_parts, read_present_parts
 from parcelry.sources.segment_store import read_segments, write_segments
 from parcelry.sources.tables import data_header, structure_segments, structure_text
 
@@ -99,18 +99,25 @@ def extract(
         if request.files:
             gone = sel.classify_files(rows, manifest).filter(F.col("class") == "vanished").orderBy("ordinal")
             request.skipped[:] = [row["name"] for row in gone.collect()]
-        pieces = _pieces(spark, request, sources, chosen, root)
+        content = None
+        if request.files and request.strict:
+            content = read_parts(chosen, root, request.part_bytes)
+        elif request.files:
+            content, gone = read_present_parts(chosen, root, request.part_bytes)
+            request.skipped.extend(row["name"] for row in chosen.join(gone, "path", "left_semi").orderBy("ordinal").collect())
+            chosen = chosen.join(gone, "path", "left_anti")
+        pieces = _pieces(spark, request, sources, chosen, content)
         write_segments(pieces.withColumn("artifact", F.lit(str(request.job_id))), path)
         if log:
             append_audit(_audit_entry(spark, request, chosen), log)
     return read_segments(spark, path)
 
 
-def _pieces(spark: SparkSession, request: Request, sources: dict[str, Source], chosen: DataFrame, root: str | None) -> DataFrame:
+def _pieces(spark: SparkSession, request: Request, sources: dict[str, Source], chosen: DataFrame, content: DataFrame | None) -> DataFrame:
     """Segments with their place in the artifact.
 
     Every place is known before anything is rendered: slices are counted when they are cut,
-    parts follow from file sizes. So payloads are rendered once and never renumbered.
+    parts follow from the sizes of the files that are there. So payloads are rendered once and never renumbered.
     """
     pieces, seq = [], 0
     for name in request.tables:
@@ -127,7 +134,7 @@ def _pieces(spark: SparkSession, request: Request, sources: dict[str, Source], c
         pieces.append(definitions.select((F.col("ordinal") + seq).alias("seq"), "name", "payload"))
         seq += len(request.structure_only)
     if request.files:
-        pieces.append(_file_pieces(chosen, root, request.part_bytes, seq))
+        pieces.append(_file_pieces(chosen, content, request.part_bytes, seq))
     return reduce(DataFrame.unionByName, pieces)
 
 
@@ -136,11 +143,10 @@ def _chosen_files(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     return wanted.join(manifest, "path")
 
 
-def _file_pieces(chosen: DataFrame, root: str, part_bytes: int, first: int) -> DataFrame:
+def _file_pieces(chosen: DataFrame, content: DataFrame, part_bytes: int, first: int) -> DataFrame:
     parts = F.greatest(F.ceil(F.col("size") / part_bytes), F.lit(1)).cast("bigint")
     placed = running_sum_in_group(chosen.withColumn("_parts", parts).withColumn("_job", F.lit(0)), ["_job"], ["ordinal"], {"_upto": F.col("_parts")})
     starts = placed.select("path", "name", (F.col("_upto") - F.col("_parts") + first).alias("_start"))
-    content = read_parts(chosen.select("path", "size", "mtime"), root, part_bytes)
     joined = content.join(starts, "path")
     return joined.select((F.col("_start") + F.floor(F.col("offset") / part_bytes)).alias("seq"), "name", "payload")
 

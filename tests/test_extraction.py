@@ -72,6 +72,50 @@ def test_a_lenient_request_skips_and_reports(spark, site, tmp_path):
     assert request.skipped == ["gone"]
 
 
+def test_files_that_go_between_listing_and_reading(spark, site, tmp_path, monkeypatch):
+    from parcelry.plans import extraction
+
+    root, sources = site
+    passing = os.path.join(root, "m.gone")
+    real = extraction._chosen_files
+
+    def lists_then_deletes(rows, manifest):
+        os.remove(passing)
+        return real(rows, manifest)
+
+    monkeypatch.setattr(extraction, "_chosen_files", lists_then_deletes)
+    names = ["a.txt", "m.gone", "never", "z/empty"]
+    for strict in (False, True):
+        with open(passing, "wb") as handle:
+            handle.write(bytes(250))
+        request = Request(4, ["bare"], files=names if not strict else ["a.txt", "m.gone"], strict=strict, part_bytes=100)
+        if strict:
+            with pytest.raises(Exception, match="No such file"):
+                extract(spark, request, sources, str(tmp_path / "strict"), root)
+            continue
+        rows = extract(spark, request, sources, str(tmp_path / "out"), root, str(tmp_path / "log")).orderBy("seq").collect()
+        assert request.skipped == ["never", "m.gone"]
+        assert [r["seq"] for r in rows] == list(range(len(rows))) and {r["name"] for r in rows} == {"bare", "a.txt", "z/empty"}
+        assert read_audit(spark, str(tmp_path / "log")).first()["files"]["count"] == 2
+
+
+def test_a_link_out_of_the_root_is_out_of_bounds(spark, site, tmp_path):
+    root, sources = site
+    (tmp_path / "secret").write_bytes(b"x")
+    links = {"out.link": tmp_path / "secret", "in.link": os.path.join(root, "a.txt")}
+    for name, target in links.items():
+        os.symlink(target, os.path.join(root, name))
+    try:
+        got = extract(spark, Request(5, files=["in.link"], strict=False), sources, str(tmp_path / "in"), root).collect()
+        assert {r["name"] for r in got} == {"in.link"}
+        with pytest.raises(SelectionRefused) as refused:
+            extract(spark, Request(5, files=["out.link", "a.txt"], strict=False), sources, str(tmp_path / "out"), root)
+        assert (refused.value.verdict, refused.value.names) == ("unknown", ["out.link"])
+    finally:
+        for name in links:
+            os.remove(os.path.join(root, name))
+
+
 def test_nothing_staged_is_left_behind(spark, site, tmp_path):
     from parcelry.session import scratch_root
 

@@ -72,6 +72,36 @@ def test_changed_file_fails_the_read(spark, tmp_path):
         read_parts(stale, str(tmp_path)).collect()
 
 
+def test_outside_and_torn_files_fail_the_read(spark, tmp_path):
+    import os as system
+
+    from parcelry.sources import files as sources
+
+    (tmp_path / "root").mkdir()
+    (tmp_path / "root" / "big").write_bytes(bytes(30))
+    (tmp_path / "outer").write_bytes(b"x")
+    system.symlink(tmp_path / "outer", tmp_path / "root" / "link")
+    tree = sources.scan_tree(spark, str(tmp_path / "root"))
+    assert {r["path"]: r["inside"] for r in tree.files.collect()} == {"big": True, "link": False}
+    with pytest.raises(Exception, match="resolves outside the root"):
+        read_parts(tree.files.filter("path = 'link'"), str(tmp_path / "root")).collect()
+    listed = tree.files.filter("path = 'big'").collect()
+    both = spark.createDataFrame([*listed, ("gone", 25, 0, True)], tree.files.schema)
+    parts, gone = sources.read_present_parts(both, str(tmp_path / "root"), 10)
+    assert parts.count() == 3 and [r["path"] for r in gone.collect()] == ["gone"]
+
+
+def test_unreadable_directories_are_reported(tmp_path):
+    import pandas as pd
+
+    from parcelry.sources.files import _list_directories
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "f").write_bytes(b"abc")
+    found = pd.concat(_list_directories(str(tmp_path), iter([pd.DataFrame({"path": ["gone", "d"]})])))
+    assert [tuple(r) for r in found[["path", "kind", "size"]].itertuples(index=False)] == [("gone", "unreadable", 0), ("d/f", "file", 3)]
+
+
 @pytest.mark.parametrize("size, chunk, want", [(0, 10, [(0, 0, True)]), (10, 10, [(0, 10, True)]), (25, 10, [(0, 10, False), (10, 10, False), (20, 5, True)])])
 def test_part_bounds(spark, size, chunk, want):
     df = spark.createDataFrame([("p", bytes(range(size)))], "path string, content binary")
