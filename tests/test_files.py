@@ -149,6 +149,25 @@ def test_store_outline_and_pairing(spark, recipe, tmp_path):
     assert [(r["seq"], r["status"]) for r in paired.filter("status <> 'paired'").collect()] == [(3, "no_name")]
 
 
+def test_nothing_unpublished_is_read(spark, recipe, tmp_path):
+    from parcelry.sources.segment_store import NotPublished
+
+    path = str(tmp_path / "s")
+    broken = recipe.withColumn("payload", F.when(F.col("seq") == 5, F.raise_error(F.lit("killed")).cast("binary")).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="killed"):
+        write_segments(broken.repartition(4), path)
+    recipe.select("artifact", "seq", "name", "payload").write.parquet(f"{path}/_data/unended")  # a writer still at work
+    with pytest.raises(NotPublished):
+        read_segments(spark, path)
+    (tmp_path / "s" / "_published").write_text("unended\n")  # its last line is missing
+    with pytest.raises(NotPublished):
+        read_segments(spark, path)
+    (tmp_path / "s" / "_published").unlink()
+    (tmp_path / "s" / "._published.crc").unlink(missing_ok=True)
+    write_segments(recipe, path)
+    assert read_segments(spark, path).count() == recipe.count()
+
+
 def test_build_order(spark):
     rows = [(1, "file", 0, 0), (1, "table", 1, 1), (1, "structure", 0, 0), (1, "table", 1, 0), (1, "table", 0, 0), (2, "file", 0, 0)]
     df = spark.createDataFrame(rows, "job_id int, kind string, ordinal int, part int")
