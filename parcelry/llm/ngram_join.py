@@ -58,6 +58,8 @@ DELETED = 1 << 24
 BAND = 1 << 25
 #: Bits of the smallest parity bitmap.
 PARITY_BITS = 1024
+#: How often a crowd within a crowd is described by a new root before it is paired.
+DESCENTS = 8
 
 
 class Bands(NamedTuple):
@@ -366,11 +368,31 @@ def crowd_links(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> DataFram
     group's first member, its root: as the difference of two sets is that of their differences from any third,
     x_R + x_S - 2 * overlap = |R ^ S|. A pair with x_R + x_S <= H is linked to the root on both sides. Any other
     linked pair, R the one farther from the root, shares a difference among the first H + 1 of R and the first
-    H / 2 + 1 of S, in one order of all shingles. What a member adds to the root comes first in that order, being
-    rarer than what it lacks. So a group costs H rows a member.
+    H / 2 + 1 of S, in one order of all shingles: those of few members come first, so what a whole template adds to
+    the root, or lacks, comes last. A difference that more than ``CROWDED`` members bring among their first H / 2 + 1
+    is a crowd again, smaller by the root: its members are described anew by one of them, not paired. After
+    ``DESCENTS`` such rounds what is left is paired, so no link is lost.
+    """
+    for descent in range(DESCENTS + 1):
+        if crowds.isEmpty():
+            break
+        links, rows = described(corpus, crowds, links)
+        near = F.count_if(F.expr("at <= reach DIV 2")).alias("n_near")
+        met = rows.groupBy("root", "shingle").agg(near, F.min("component").alias("low"), F.max("component").alias("high"))
+        met = stage(met.where("low < high AND n_near > 0").select("root", "shingle", "n_near"), "ngram-met")
+        paired, again = (met, met.limit(0)) if descent == DESCENTS else (met.where(f"n_near <= {CROWDED}"), met.where(f"n_near > {CROWDED}"))
+        links = stage(links.unionByName(_checked(corpus, sharing(rows.join(paired.drop("n_near"), ["root", "shingle"], "left_semi"), corpus.threshold))), "ngram-links")
+        crowds = stage(
+            rows.join(again.drop("n_near"), ["root", "shingle"], "left_semi").select(F.xxhash64("root", "shingle").alias("key"), "e", "n"), "ngram-crowds"
+        )
+    return links
+
+
+def described(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``links`` with those to the roots of the groups of ``crowds`` added, and the first H + 1 differences of every member from its root.
+
+    The differences are (root, e, n, x, reach, component, at, shingle); ``at`` counts from 0, ``reach`` is H for the largest partner.
     """
-    if crowds.isEmpty():
-        return links
     threshold = corpus.threshold
     tops = crowds.groupBy("key").agg(F.min("e").alias("a"))
     star = crowds.join(tops, "key").select("a", F.col("e").alias("b")).distinct()
@@ -378,27 +400,37 @@ def crowd_links(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> DataFram
     sets = corpus.arrays(groups.select("e"))
     own = sets.select("e", F.col("shingles").alias("s"))
     of_root = sets.select(F.col("e").alias("root"), F.col("shingles").alias("t"))
-    apart = F.concat(F.array_sort(F.array_except("s", "t")), F.array_sort(F.array_except("t", "s")))
+    apart = F.concat(F.array_except("s", "t"), F.array_except("t", "s"))
     reach = F.floor((F.col("n") + F.floor(F.col("n") * 100 / threshold)) * (100 - threshold) / (100 + threshold)).cast("int")
     deltas = stage(
         groups.join(own, "e").join(of_root, "root")
         .select("root", "e", F.size("s").alias("n"), F.size("t").alias("n_root"), apart.alias("apart"))
-        .select("root", "e", "n", "n_root", F.size("apart").alias("x"), F.slice("apart", F.lit(1), reach + 1).alias("first"), reach.alias("reach")),
+        .select("root", "e", "n", "n_root", F.size("apart").alias("x"), "apart", reach.alias("reach")),
         "ngram-deltas",
     )
-    differ = f"* {100 + threshold} <= {100 - threshold} *"
-    links = stage(links.unionByName(deltas.where(f"e <> root AND x {differ} (n + n_root)").select(F.col("root").alias("a"), F.col("e").alias("b"))), "ngram-links")
+    close = f"e <> root AND x * {100 + threshold} <= {100 - threshold} * (n + n_root)"
+    links = stage(links.unionByName(deltas.where(close).select(F.col("root").alias("a"), F.col("e").alias("b"))), "ngram-links")
     found = components(links, "ngram-components").toDF("e", "component")
-    rows = stage(
-        deltas.join(found, "e", "left")
-        .select("root", "e", "n", "x", "reach", F.coalesce("component", "e").alias("component"), F.posexplode("first").alias("at", "shingle")),
-        "ngram-differences",
+    each = deltas.select("root", "e", "n", "x", "reach", F.explode("apart").alias("shingle"))
+    common = stage(each.groupBy("root", "shingle").agg(F.count("*").alias("held")).where(f"held > {CROWDED}"), "ngram-common")
+    ordered = Window.partitionBy("root", "e").orderBy("held", "shingle")
+    first = (
+        each.join(small(common), ["root", "shingle"], "left")
+        .withColumn("held", F.coalesce("held", F.lit(0)))
+        .withColumn("at", F.row_number().over(ordered) - 1)
+        .where("at <= reach")
     )
+    rows = first.join(found, "e", "left").select("root", "e", "n", "x", "reach", F.coalesce("component", "e").alias("component"), "at", "shingle")
+    return links, stage(rows, "ngram-differences")
+
+
+def sharing(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, n_a, n_b): members of different components that share one of the differences in ``rows``, b by its first H / 2 + 1."""
     far = rows.select("root", "shingle", F.col("e").alias("a"), F.col("n").alias("n_a"), F.col("x").alias("x_a"), F.col("component").alias("c_a"))
     near = rows.where("at <= reach DIV 2").select("root", "shingle", F.col("e").alias("b"), F.col("n").alias("n_b"), F.col("x").alias("x_b"), F.col("component").alias("c_b"))
-    pairs = far.join(near, ["root", "shingle"]).where(f"c_a <> c_b AND x_a >= x_b AND (x_a - x_b) {differ} (n_a + n_b)")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b")
-    return links.unionByName(_checked(corpus, pairs))
+    apart = f"(x_a - x_b) * {100 + threshold} <= {100 - threshold} * (n_a + n_b)"
+    pairs = far.join(near, ["root", "shingle"]).where(f"c_a <> c_b AND x_a >= x_b AND {apart}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b")
 
 
 def _checked(corpus: Corpus, pairs: DataFrame) -> DataFrame:

@@ -140,3 +140,39 @@ def test_a_very_long_text_and_its_copy(spark):
     got = {r["doc_id"]: r["component_id"] for r in ngram_components(docs, 3, 90).collect()}
     assert got == {5: 3, 3: 3, 9: 9}
     assert sorted(r["doc_id"] for r in one_of_each(docs, 3, 90).collect()) == [3, 9]
+
+
+@pytest.mark.parametrize(("slots", "alike"), [(1, True), (12, False)])
+def test_a_crowd_with_a_foreign_root_costs_its_size(spark, monkeypatch, slots, alike):
+    """Texts of one template, near copies or not, described by a text that shares nothing with them."""
+    n, base = 250, [f"w{i}" for i in range(60)]
+
+    def member(i):
+        words = list(base)
+        for slot in range(slots):
+            words[3 + slot * 4] = f"own{i}x{slot}"
+        return " ".join(words)
+
+    texts = [member(i) for i in range(n)]
+    strangers = [" ".join(f"s{k}x{i}" for i in range(60)) for k in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts + strangers)), "doc_id long, text string")
+    stats = ngram_join.shingle_stats(docs, 5).collect()
+    least = min(r["e"] for r in stats if r["doc_id"] < n)
+    strange = next(r["doc_id"] for r in stats if r["doc_id"] >= n and r["e"] < least)
+    docs = docs.where(f"doc_id < {n} OR doc_id = {strange}")
+    sets = ngram_join.shingle_stats(docs, 5).selectExpr("e", "e2", "n_shingles AS n", "parity", "doc_id AS rep")
+    looked, plain_check = [], ngram_join._checked
+
+    def counting(corpus, pairs):
+        looked.append(pairs.count())
+        return plain_check(corpus, pairs)
+
+    monkeypatch.setattr(ngram_join, "_checked", counting)
+    corpus = ngram_join.Corpus(docs, sets, 5, 80)
+    crowds = sets.selectExpr("1L AS key", "e", "n")
+    none = spark.createDataFrame([], "a long, b long")
+    links = ngram_join.crowd_links(corpus, crowds, none)
+    groups = {r["component"] for r in ngram_join.components(links).collect()}
+    assert len(groups) == (1 if alike else 0)
+    assert links.selectExpr("explode(array(a, b)) AS e").distinct().count() == (n if alike else 0)
+    assert sum(looked) <= 4 * n
