@@ -368,10 +368,11 @@ def crowd_links(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> DataFram
     group's first member, its root: as the difference of two sets is that of their differences from any third,
     x_R + x_S - 2 * overlap = |R ^ S|. A pair with x_R + x_S <= H is linked to the root on both sides. Any other
     linked pair, R the one farther from the root, shares a difference among the first H + 1 of R and the first
-    H / 2 + 1 of S, in one order of all shingles: those of few members come first, so what a whole template adds to
-    the root, or lacks, comes last. A difference that more than ``CROWDED`` members bring among their first H / 2 + 1
-    is a crowd again, smaller by the root: its members are described anew by one of them, not paired. After
-    ``DESCENTS`` such rounds what is left is paired, so no link is lost.
+    H / 2 + 1 of S, in one order of all shingles. What a member adds to the root comes first in that order, being
+    rarer than what it lacks. A difference that more than ``CROWDED`` members bring among their first H / 2 + 1, as
+    the texts of a template do whose root is none of them, is a crowd again, smaller by the root: its members are
+    described anew by one of them, not paired. So a group costs H rows a member and round. What is left after
+    ``DESCENTS`` rounds is paired, so no link is lost.
     """
     for descent in range(DESCENTS + 1):
         if crowds.isEmpty():
@@ -400,27 +401,20 @@ def described(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> tuple[Data
     sets = corpus.arrays(groups.select("e"))
     own = sets.select("e", F.col("shingles").alias("s"))
     of_root = sets.select(F.col("e").alias("root"), F.col("shingles").alias("t"))
-    apart = F.concat(F.array_except("s", "t"), F.array_except("t", "s"))
+    apart = F.concat(F.array_sort(F.array_except("s", "t")), F.array_sort(F.array_except("t", "s")))
     reach = F.floor((F.col("n") + F.floor(F.col("n") * 100 / threshold)) * (100 - threshold) / (100 + threshold)).cast("int")
     deltas = stage(
         groups.join(own, "e").join(of_root, "root")
         .select("root", "e", F.size("s").alias("n"), F.size("t").alias("n_root"), apart.alias("apart"))
-        .select("root", "e", "n", "n_root", F.size("apart").alias("x"), "apart", reach.alias("reach")),
+        .select("root", "e", "n", "n_root", F.size("apart").alias("x"), F.slice("apart", F.lit(1), reach + 1).alias("first"), reach.alias("reach")),
         "ngram-deltas",
     )
     close = f"e <> root AND x * {100 + threshold} <= {100 - threshold} * (n + n_root)"
     links = stage(links.unionByName(deltas.where(close).select(F.col("root").alias("a"), F.col("e").alias("b"))), "ngram-links")
     found = components(links, "ngram-components").toDF("e", "component")
-    each = deltas.select("root", "e", "n", "x", "reach", F.explode("apart").alias("shingle"))
-    common = stage(each.groupBy("root", "shingle").agg(F.count("*").alias("held")).where(f"held > {CROWDED}"), "ngram-common")
-    ordered = Window.partitionBy("root", "e").orderBy("held", "shingle")
-    first = (
-        each.join(small(common), ["root", "shingle"], "left")
-        .withColumn("held", F.coalesce("held", F.lit(0)))
-        .withColumn("at", F.row_number().over(ordered) - 1)
-        .where("at <= reach")
+    rows = deltas.join(found, "e", "left").select(
+        "root", "e", "n", "x", "reach", F.coalesce("component", "e").alias("component"), F.posexplode("first").alias("at", "shingle")
     )
-    rows = first.join(found, "e", "left").select("root", "e", "n", "x", "reach", F.coalesce("component", "e").alias("component"), "at", "shingle")
     return links, stage(rows, "ngram-differences")
 
 

@@ -142,10 +142,9 @@ def test_a_very_long_text_and_its_copy(spark):
     assert sorted(r["doc_id"] for r in one_of_each(docs, 3, 90).collect()) == [3, 9]
 
 
-@pytest.mark.parametrize(("slots", "alike"), [(1, True), (12, False)])
-def test_a_crowd_with_a_foreign_root_costs_its_size(spark, monkeypatch, slots, alike):
-    """Texts of one template, near copies or not, described by a text that shares nothing with them."""
-    n, base = 250, [f"w{i}" for i in range(60)]
+def looked_at(spark, monkeypatch, n, slots):
+    """Candidates, groups and linked members of ``n`` texts of one template and a root that shares nothing with them."""
+    base = [f"w{i}" for i in range(60)]
 
     def member(i):
         words = list(base)
@@ -153,9 +152,8 @@ def test_a_crowd_with_a_foreign_root_costs_its_size(spark, monkeypatch, slots, a
             words[3 + slot * 4] = f"own{i}x{slot}"
         return " ".join(words)
 
-    texts = [member(i) for i in range(n)]
-    strangers = [" ".join(f"s{k}x{i}" for i in range(60)) for k in range(1500)]
-    docs = spark.createDataFrame(list(enumerate(texts + strangers)), "doc_id long, text string")
+    strangers = [" ".join(f"s{k}x{i}" for i in range(60)) for k in range(4 * n)]
+    docs = spark.createDataFrame(list(enumerate([member(i) for i in range(n)] + strangers)), "doc_id long, text string")
     stats = ngram_join.shingle_stats(docs, 5).collect()
     least = min(r["e"] for r in stats if r["doc_id"] < n)
     strange = next(r["doc_id"] for r in stats if r["doc_id"] >= n and r["e"] < least)
@@ -167,12 +165,23 @@ def test_a_crowd_with_a_foreign_root_costs_its_size(spark, monkeypatch, slots, a
         looked.append(pairs.count())
         return plain_check(corpus, pairs)
 
-    monkeypatch.setattr(ngram_join, "_checked", counting)
-    corpus = ngram_join.Corpus(docs, sets, 5, 80)
-    crowds = sets.selectExpr("1L AS key", "e", "n")
-    none = spark.createDataFrame([], "a long, b long")
-    links = ngram_join.crowd_links(corpus, crowds, none)
-    groups = {r["component"] for r in ngram_join.components(links).collect()}
-    assert len(groups) == (1 if alike else 0)
-    assert links.selectExpr("explode(array(a, b)) AS e").distinct().count() == (n if alike else 0)
-    assert sum(looked) <= 4 * n
+    with monkeypatch.context() as patched:
+        patched.setattr(ngram_join, "_checked", counting)
+        corpus = ngram_join.Corpus(docs, sets, 5, 80)
+        links = ngram_join.crowd_links(corpus, sets.selectExpr("1L AS key", "e", "n"), spark.createDataFrame([], "a long, b long"))
+        groups = {r["component"] for r in ngram_join.components(links).collect()}
+    return sum(looked), len(groups), links.selectExpr("explode(array(a, b)) AS e").distinct().count()
+
+
+def test_near_copies_with_a_foreign_root_are_all_linked(spark, monkeypatch):
+    looked, groups, members = looked_at(spark, monkeypatch, 250, 1)
+    assert (groups, members) == (1, 250)
+    assert looked <= 4 * 250
+
+
+def test_candidates_of_a_template_grow_with_its_size(spark, monkeypatch):
+    few, *none = looked_at(spark, monkeypatch, 200, 4)
+    many, *still = looked_at(spark, monkeypatch, 800, 4)
+    assert none == still == [0, 0]
+    print("candidates", few, many)
+    assert many <= 6 * few
