@@ -58,6 +58,8 @@ DELETED = 1 << 24
 BAND = 1 << 25
 #: Bits of the smallest parity bitmap.
 PARITY_BITS = 1024
+#: Members that bring a difference in common above which they are described by a new root, not paired.
+PAIRED = 64
 #: How often a crowd within a crowd is described by a new root before it is paired.
 DESCENTS = 8
 
@@ -369,7 +371,7 @@ def crowd_links(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> DataFram
     x_R + x_S - 2 * overlap = |R ^ S|. A pair with x_R + x_S <= H is linked to the root on both sides. Any other
     linked pair, R the one farther from the root, shares a difference among the first H + 1 of R and the first
     H / 2 + 1 of S, in one order of all shingles. What a member adds to the root comes first in that order, being
-    rarer than what it lacks. A difference that more than ``CROWDED`` members bring among their first H / 2 + 1, as
+    rarer than what it lacks. A difference that more than ``PAIRED`` members bring among their first H / 2 + 1, as
     the texts of a template do whose root is none of them, is a crowd again, smaller by the root: its members are
     described anew by one of them, not paired. So a group costs H rows a member and round. What is left after
     ``DESCENTS`` rounds is paired, so no link is lost.
@@ -381,7 +383,7 @@ def crowd_links(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> DataFram
         near = F.count_if(F.expr("at <= reach DIV 2")).alias("n_near")
         met = rows.groupBy("root", "shingle").agg(near, F.min("component").alias("low"), F.max("component").alias("high"))
         met = stage(met.where("low < high AND n_near > 0").select("root", "shingle", "n_near"), "ngram-met")
-        paired, again = (met, met.limit(0)) if descent == DESCENTS else (met.where(f"n_near <= {CROWDED}"), met.where(f"n_near > {CROWDED}"))
+        paired, again = (met, met.limit(0)) if descent == DESCENTS else (met.where(f"n_near <= {PAIRED}"), met.where(f"n_near > {PAIRED}"))
         links = stage(links.unionByName(_checked(corpus, sharing(rows.join(paired.drop("n_near"), ["root", "shingle"], "left_semi"), corpus.threshold))), "ngram-links")
         crowds = stage(
             rows.join(again.drop("n_near"), ["root", "shingle"], "left_semi").select(F.xxhash64("root", "shingle").alias("key"), "e", "n"), "ngram-crowds"

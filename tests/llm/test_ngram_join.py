@@ -73,6 +73,7 @@ def variants(seed: int) -> list[tuple]:
 @pytest.mark.parametrize(("width", "threshold", "crowded"), [(3, 90, 8), (5, 80, 0)])
 def test_equals_all_pairs(spark, monkeypatch, width, threshold, crowded):
     monkeypatch.setattr(ngram_join, "CROWDED", crowded)
+    monkeypatch.setattr(ngram_join, "PAIRED", crowded)
     rows = variants(threshold + crowded)
     got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width, threshold).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, width, threshold)
@@ -166,6 +167,7 @@ def looked_at(spark, monkeypatch, n, slots):
         return plain_check(corpus, pairs)
 
     with monkeypatch.context() as patched:
+        patched.setattr(ngram_join, "PAIRED", 8)
         patched.setattr(ngram_join, "_checked", counting)
         corpus = ngram_join.Corpus(docs, sets, 5, 80)
         links = ngram_join.crowd_links(corpus, sets.selectExpr("1L AS key", "e", "n"), spark.createDataFrame([], "a long, b long"))
