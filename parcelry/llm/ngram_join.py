@@ -61,7 +61,7 @@ PARITY_BITS = 1024
 #: Members that bring a difference in common above which they are described by a new root, not paired.
 PAIRED = 64
 #: How often a crowd within a crowd is described by a new root before it is paired.
-DESCENTS = 8
+DESCENTS = 2
 
 
 class Bands(NamedTuple):
