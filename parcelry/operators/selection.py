@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from parcelry.functions.paths import is_hostile, is_restricted, resolved, scattered
 
 SELECTION_CAP = 500_000
+#: Entries that one task of a verdict holds, on average, and those below which another task is not worth its start.
+ENTRIES_PER_TASK, FEWEST_PER_TASK = 500_000, 50_000
+#: Tasks over which one request's entries are spread.
+SHARES = 16
 TABLE_KINDS = ["table", "structure"]
 
 
@@ -70,19 +74,28 @@ def skip_report(selection: DataFrame, manifest: DataFrame, requests: DataFrame)
     return vanished.join(lenient, "job_id", "left_semi").select("job_id", "ordinal", "name")
 
 
+def _tasks(selection: DataFrame) -> int:
+    entries = selection.count()
+    width = int(selection.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(width, entries // FEWEST_PER_TASK + 1), -(-entries // ENTRIES_PER_TASK))
+
+
 def selection_verdict(
     requests: DataFrame, selection: DataFrame, catalog: DataFrame, manifest: DataFrame, cap: int = SELECTION_CAP
 ) -> DataFrame:
     """One verdict per request; the first failing rule names it.
 
     ``requests`` has ``job_id`` and the raw text of ``strict`` and ``chunk_size`` (null when
-    absent). Entries are first reduced to one row per request and name, so the joins and the
-    per-request totals see each name once and combine map-side.
+    absent). Entries are first reduced to one row per request and name, so the joins see each name
+    once, then to one row per request and share of its names, so a request of any size ends as few
+    rows. Tasks are as many as the entries ask for, so what one of them holds doesn't grow.
     """
     kind, name = F.col("kind"), F.col("name")
     known_kind = kind.isin(*TABLE_KINDS, "file")
     bad_entry = name.isNull() | (name == "") | ~known_kind | kind.isNull()
-    per_name = selection.groupBy("job_id", "name").agg(
+    tasks = _tasks(selection)
+    spread = selection.select("job_id", "kind", "name", F.pmod(F.xxhash64("name"), F.lit(SHARES)).alias("_share")).repartition(tasks, "job_id", "_share")
+    per_name = spread.groupBy("job_id", "_share", "name").agg(
         F.count("*").alias("entries"),
         F.count_if(kind == "table").alias("whole"),
         F.count_if(kind == "structure").alias("bare"),
@@ -101,17 +114,18 @@ def selection_verdict(
     checked = checked.join(tables, "_table", "left").join(paths, "_path", "left")
     repeated = (F.col("whole") > 1) | (F.col("bare") > 1) | (F.col("files") > 1)
     vanished = is_file & ~hostile & F.col("on_disk").isNull()
-    per_job = checked.groupBy("job_id").agg(
-        F.sum("entries").alias("entries"),
-        F.max(F.col("bad") | repeated).alias("malformed"),
-        F.max((F.col("whole") > 0) & (F.col("bare") > 0)).alias("overlap"),
-        F.max(is_file & is_restricted(name)).alias("restricted"),
-        F.max(is_table & F.col("in_catalog").isNull()).alias("no_table"),
-        F.max(hostile | (is_file & ~F.coalesce("on_disk", F.lit(True)))).alias("out_of_bounds"),
-        F.max(vanished).alias("vanished"),
-        F.max(is_table).alias("has_table"),
-        F.max(is_file & ~hostile & F.coalesce("on_disk", F.lit(False))).alias("has_kept"),
-    )
+    flags = {
+        "malformed": F.col("bad") | repeated,
+        "overlap": (F.col("whole") > 0) & (F.col("bare") > 0),
+        "restricted": is_file & is_restricted(name),
+        "no_table": is_table & F.col("in_catalog").isNull(),
+        "out_of_bounds": hostile | (is_file & ~F.coalesce("on_disk", F.lit(True))),
+        "vanished": vanished,
+        "has_table": is_table,
+        "has_kept": is_file & ~hostile & F.coalesce("on_disk", F.lit(False)),
+    }
+    per_share = checked.groupBy("job_id", "_share").agg(F.sum("entries").alias("entries"), *(F.max(flag).alias(x) for x, flag in flags.items()))
+    per_job = per_share.repartition(tasks, "job_id").groupBy("job_id").agg(F.sum("entries").alias("entries"), *(F.max(x).alias(x) for x in flags))
     strict = strict_of(F.col("strict"))
     bad_flag = F.col("strict").isNotNull() & ~F.col("strict").isin("true", "false")
     size = F.col("chunk_size")

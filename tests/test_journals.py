@@ -58,6 +58,18 @@ def test_verdicts(spark):
     assert [r["verdict"] for r in got.orderBy("job_id").collect()] == [verdict for *_, verdict in CASES]
 
 
+def test_tasks_of_verdicts_grow_with_the_entries(spark, monkeypatch):
+    monkeypatch.setattr(selection, "ENTRIES_PER_TASK", 100)
+    cases = [([(T, "t1")], None, None, "ok"), ([(X, f"a/{i}") for i in range(2900)], None, None, "unknown"), ([(X, "a/0"), (X, "a/0")], None, None, "malformed")]
+    heads, entries = requests(spark, cases)
+    catalog = spark.createDataFrame([("t1",)], "name string")
+    manifest = spark.createDataFrame([("a/0", 1)], "path string, size int")
+    got = selection.selection_verdict(heads, entries, catalog, manifest)
+    assert [(r["entries"], r["verdict"]) for r in got.orderBy("job_id").collect()] == [(len(c[0]), c[-1]) for c in cases]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 30), REPARTITION_BY_NUM") >= 2
+
+
 def test_skips_and_missing(spark):
     heads, entries = requests(spark, [([(X, "nope"), (X, "../x"), (T, "gone"), (X, "a/b")], flag, None, "") for flag in ("false", "true")])
     catalog = spark.createDataFrame([("t1",)], "name string")
