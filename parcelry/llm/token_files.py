@@ -20,7 +20,6 @@ the order of their texts; null doc_ids come first; an empty table writes no docu
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import zlib
@@ -41,8 +40,6 @@ LENGTH = 2048
 SEQUENCES_PER_BATCH = 256
 #: Parts a worker remembers; about 200 bytes each.
 REMEMBERED = 800_000
-#: Places where a split at single spaces and line feeds would not be safe.
-UNSAFE = re.compile(r"\s\s|\A\s|\s\Z|\A\Z")
 MOST_TASKS = 20_000
 #: Text of a file, at most on average.
 FILE_BYTES = 256 << 20
@@ -67,32 +64,38 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        whole = lambda t: UNSAFE.search(t) or any(x in t for x in self.added)
-        split = [None if whole(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        wanted: set[str] = set()
-        for lines in split:
-            for parts in lines or ():
-                wanted.update(parts)
-        known = self.known
-        fresh = self._new([w for w in wanted if w not in known])
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
-            find = known.__getitem__
-        else:
-            find = lambda w: known.get(w) or fresh[w]
+        split = [None if any(x in t for x in self.added) else self._lines(t) for t in texts]
+        get = self.known.get
+        found = [None if lines is None else [list(map(get, parts)) for parts in lines] for lines in split]
+        new: set[str] = set()
+        for lines, ids in zip(split, found, strict=True):
+            for parts, some in zip(lines or (), ids or (), strict=True):
+                if None in some[1:]:
+                    new.update(p for p, x in zip(parts[1:], some[1:], strict=True) if x is None)
+        fresh = self._new(list(new))
+        if len(self.known) + len(fresh) <= REMEMBERED:
+            self.known.update(fresh)
         made = []
-        for text, lines in zip(texts, split, strict=True):
+        for text, lines, ids in zip(texts, split, found, strict=True):
             if lines is None:
                 made.append(self.whole(text) if text else b"")
                 continue
             out = []
-            for parts in lines:
+            for parts, some in zip(lines, ids, strict=True):
+                some[0] = self._first(parts[0])
                 out.append(self.line_feed)
-                out.append(self._first(parts[0]))
-                out.extend(map(find, parts[1:]))
+                out.extend(fresh[p] if x is None else x for p, x in zip(parts, some, strict=True)) if None in some else out.extend(some)
             made.append(b"".join(out[1:]))
         return made
 
+    @staticmethod
+    def _lines(text: str) -> list[list[str]] | None:
+        """The parts of each line of ``text``; none where it begins, ends or goes on with white space after white space."""
+        words = text.split()
+        if not words or sum(map(len, words)) + len(words) - 1 != len(text):
+            return None
+        return [line.split(" ") for line in text.split("\n")] if "\n" in text or text.count(" ") != len(words) - 1 else [words]
+
     def _first(self, part: str) -> bytes:
         """A part that follows no space."""
         key = "\n" + part

@@ -203,3 +203,17 @@ def test_a_long_text_is_one_chain():
 
 def test_token_files_of_an_empty_table(spark):
     assert token_files.token_round_trip(documents(spark, []), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
+
+
+def test_parts_of_lines_are_those_between_single_white_space():
+    rnd = random.Random(2)
+    pieces = ["a", "bc", "ß", "9", ".", " ", "\n", "\t", "\x1c", "\x85", " ", "​", "<|endoftext|>"]
+    odd = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 9))) for _ in range(5000)]
+    for text in odd:
+        unsafe = re.search(r"\s\s|\A\s|\s\Z|\A\Z", text)
+        assert token_files.Codec._lines(text) == (None if unsafe else [line.split(" ") for line in text.split("\n")])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    codec, library = token_files.Codec(path), Tokenizer.from_file(path)
+    got = [*codec.encode(odd[:2500]), *codec.encode(odd[2500:]), *codec.encode(odd[:50])]
+    for text, ids in zip(odd + odd[:50], got, strict=True):
+        assert np.frombuffer(ids, dtype=codec.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
