@@ -21,7 +21,7 @@ deleting one shingle on either side); if the slacks plus one sum to H + 1, no pa
 - **Allocation.** A set whose remaining subsets are crowded trades them, dearest first, for slack 1 on
   the cheapest of its segments that carry neighbourhoods, while that is not crowded too. Costs are counts
   from the index. Nothing is capped: subsets that stay crowded are joined by how their members differ from
-  one of them (``crowd_links``), which is exact and costs the crowd's size.
+  what most of them have (``crowd_links``), which is exact and for texts of a template costs the crowd's size.
 - **Verification** first compares parity bitmaps: every set has about a bit for each shingle, the parity of how many
   hash there. Bits that differ between two sets never exceed their difference, so a pair with more than
   H of them is dropped before any set travels, and no true pair is. Then whole sets of 64-bit shingle hashes are
@@ -58,10 +58,13 @@ DELETED = 1 << 24
 BAND = 1 << 25
 #: Bits of the smallest parity bitmap.
 PARITY_BITS = 1024
-#: Members that bring a difference in common above which they are described by a new root, not paired.
+#: Square root of the pairs that a difference may bring; members of one that brings more are described by a new centre, not paired.
 PAIRED = 64
-#: How often a crowd within a crowd is described by a new root before it is paired.
-DESCENTS = 2
+#: How often a crowd within a crowd is described by a new centre before it is paired.
+DESCENTS = 4
+#: Members of a group that its centre is taken from, and the share of them (one in so many) that makes a difference a frequent one.
+WEIGHED = 256
+RARE = 16
 
 
 class Bands(NamedTuple):
@@ -367,32 +370,50 @@ def crowd_links(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> DataFram
     """``links`` with those between members of crowded subsets (key, e, n) added, without pairing the members.
 
     Crowded subsets that share members form a group, and every member is described by how it differs from the
-    group's first member, its root: as the difference of two sets is that of their differences from any third,
-    x_R + x_S - 2 * overlap = |R ^ S|. A pair with x_R + x_S <= H is linked to the root on both sides. Any other
-    linked pair, R the one farther from the root, shares a difference among the first H + 1 of R and the first
-    H / 2 + 1 of S, in one order of all shingles. What a member adds to the root comes first in that order, being
-    rarer than what it lacks. A difference that more than ``PAIRED`` members bring among their first H / 2 + 1, as
-    the texts of a template do whose root is none of them, is a crowd again, smaller by the root: its members are
-    described anew by one of them, not paired. So a group costs H rows a member and round. What is left after
-    ``DESCENTS`` rounds is paired, so no link is lost.
+    group's centre: as the difference of two sets is that of their differences from any third,
+    x_R + x_S - 2 * overlap = |R ^ S|. Pairs with x_R + x_S <= H are connected by links to the member nearest to the
+    centre. Any other linked pair, R the one farther from the centre, shares a difference among the first H + 1 of R
+    and the first H / 2 + 1 of S, in one order of all shingles, and from the first that they share on there are
+    enough left of both to bring |R ^ S| down to H. The centre has what most members have and the order puts what
+    many differ in last, so members of a template share next to nothing there, whichever they are. Differences
+    that bring more than ``PAIRED`` ^ 2 pairs all the same are crowds again: their members are described anew by a
+    centre of their own, not paired. So a group costs H rows a member and round. What is left after ``DESCENTS``
+    rounds is paired, so no link is lost.
     """
     for descent in range(DESCENTS + 1):
         if crowds.isEmpty():
             break
         links, rows = described(corpus, crowds, links)
         near = F.count_if(F.expr("at <= reach DIV 2")).alias("n_near")
-        met = rows.groupBy("root", "shingle").agg(near, F.min("component").alias("low"), F.max("component").alias("high"))
-        met = stage(met.where("low < high AND n_near > 0").select("root", "shingle", "n_near"), "ngram-met")
-        paired, again = (met, met.limit(0)) if descent == DESCENTS else (met.where(f"n_near <= {PAIRED}"), met.where(f"n_near > {PAIRED}"))
-        links = stage(links.unionByName(_checked(corpus, sharing(rows.join(paired.drop("n_near"), ["root", "shingle"], "left_semi"), corpus.threshold))), "ngram-links")
+        met = rows.groupBy("root", "shingle").agg(near, F.count("*").alias("n_far"), F.min("component").alias("low"), F.max("component").alias("high"))
+        met = stage(met.where("low < high AND n_near > 0").select("root", "shingle", (F.col("n_near") * F.col("n_far")).alias("pairs")), "ngram-met")
+        many = F.col("pairs") > PAIRED**2
+        paired, again = (met, met.limit(0)) if descent == DESCENTS else (met.where(~many), met.where(many))
+        links = stage(links.unionByName(_checked(corpus, sharing(rows.join(paired.drop("pairs"), ["root", "shingle"], "left_semi"), corpus.threshold))), "ngram-links")
         crowds = stage(
-            rows.join(again.drop("n_near"), ["root", "shingle"], "left_semi").select(F.xxhash64("root", "shingle").alias("key"), "e", "n"), "ngram-crowds"
+            rows.join(again.drop("pairs"), ["root", "shingle"], "left_semi").select(F.xxhash64("root", "shingle").alias("key"), "e", "n"), "ngram-crowds"
         )
     return links
 
 
+def centres(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(root, centre, late): for each group (e, root) the shingles that most of its members have, and those that many differ in, rarest first.
+
+    Both are taken from up to ``WEIGHED`` members of a group, those with the smallest hashes. They only say from where members are
+    described and in which order: any centre and any order give the same links.
+    """
+    weighed = groups.withColumn("_rank", F.row_number().over(Window.partitionBy("root").orderBy("e"))).where(f"_rank <= {WEIGHED}")
+    sizes = weighed.groupBy("root").agg(F.count("*").alias("n"))
+    counts = weighed.join(sets, "e").select("root", F.explode("shingles").alias("shingle")).groupBy("root", "shingle").agg(F.count("*").alias("held"))
+    differ = F.least("held", F.col("n") - F.col("held"))
+    counts = counts.where("held > 1").join(sizes, "root").where(f"held * {RARE} > n").withColumn("differ", differ)
+    in_order = F.array_sort(F.collect_list(F.when(F.col("differ") * RARE > F.col("n"), F.struct("differ", "shingle"))))
+    made = counts.groupBy("root").agg(F.collect_list(F.when(F.col("held") * 2 > F.col("n"), F.col("shingle"))).alias("centre"), in_order.alias("late"))
+    return made.select("root", "centre", F.col("late.shingle").alias("late"))
+
+
 def described(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``links`` with those to the roots of the groups of ``crowds`` added, and the first H + 1 differences of every member from its root.
+    """``links`` with those to the member nearest to the centre of each group of ``crowds`` added, and the first H + 1 differences of every member from that centre.
 
     The differences are (root, e, n, x, reach, component, at, shingle); ``at`` counts from 0, ``reach`` is H for the largest partner.
     """
@@ -401,18 +422,23 @@ def described(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> tuple[Data
     star = crowds.join(tops, "key").select("a", F.col("e").alias("b")).distinct()
     groups = stage(components(star, "ngram-groups").toDF("e", "root"), "ngram-groups")
     sets = corpus.arrays(groups.select("e"))
-    own = sets.select("e", F.col("shingles").alias("s"))
-    of_root = sets.select(F.col("e").alias("root"), F.col("shingles").alias("t"))
-    apart = F.concat(F.array_sort(F.array_except("s", "t")), F.array_sort(F.array_except("t", "s")))
+    middle = stage(centres(groups, sets), "ngram-centres")
+    nothing = F.expr("cast(array() as array<long>)")
+    own = groups.join(sets.select("e", F.col("shingles").alias("s")), "e").join(middle, "root", "left")
+    own = own.withColumn("t", F.coalesce("centre", nothing)).withColumn("late", F.coalesce("late", nothing))
+    apart = F.concat(F.array_except("s", "t"), F.array_except("t", "s"))
+    ordered = F.concat(F.array_sort(F.array_except("apart", "late")), F.array_intersect("late", "apart"))
     reach = F.floor((F.col("n") + F.floor(F.col("n") * 100 / threshold)) * (100 - threshold) / (100 + threshold)).cast("int")
     deltas = stage(
-        groups.join(own, "e").join(of_root, "root")
-        .select("root", "e", F.size("s").alias("n"), F.size("t").alias("n_root"), apart.alias("apart"))
-        .select("root", "e", "n", "n_root", F.size("apart").alias("x"), F.slice("apart", F.lit(1), reach + 1).alias("first"), reach.alias("reach")),
+        own.select("root", "e", F.size("s").alias("n"), "late", apart.alias("apart"))
+        .select("root", "e", "n", F.size("apart").alias("x"), F.slice(ordered, F.lit(1), reach + 1).alias("first"), reach.alias("reach"))
+        .withColumn("off", F.expr(f"cast(x as long) * {100 + threshold} - cast(n as long) * {100 - threshold}")),
         "ngram-deltas",
     )
-    close = f"e <> root AND x * {100 + threshold} <= {100 - threshold} * (n + n_root)"
-    links = stage(links.unionByName(deltas.where(close).select(F.col("root").alias("a"), F.col("e").alias("b"))), "ngram-links")
+    # Two members are within H of each other by way of the centre if their ``off`` add up to 0 at most, so the smallest reaches all that any other reaches.
+    nearest = deltas.groupBy("root").agg(F.min(F.struct("off", "e")).alias("top"))
+    close = deltas.join(nearest, "root").where("e <> top.e AND off + top.off <= 0")
+    links = stage(links.unionByName(close.select(F.col("top.e").alias("a"), F.col("e").alias("b"))), "ngram-links")
     found = components(links, "ngram-components").toDF("e", "component")
     rows = deltas.join(found, "e", "left").select(
         "root", "e", "n", "x", "reach", F.coalesce("component", "e").alias("component"), F.posexplode("first").alias("at", "shingle")
@@ -421,10 +447,14 @@ def described(corpus: Corpus, crowds: DataFrame, links: DataFrame) -> tuple[Data
 
 
 def sharing(rows: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, n_a, n_b): members of different components that share one of the differences in ``rows``, b by its first H / 2 + 1."""
-    far = rows.select("root", "shingle", F.col("e").alias("a"), F.col("n").alias("n_a"), F.col("x").alias("x_a"), F.col("component").alias("c_a"))
-    near = rows.where("at <= reach DIV 2").select("root", "shingle", F.col("e").alias("b"), F.col("n").alias("n_b"), F.col("x").alias("x_b"), F.col("component").alias("c_b"))
-    apart = f"(x_a - x_b) * {100 + threshold} <= {100 - threshold} * (n_a + n_b)"
+    """(a, b, n_a, n_b): members of different components that share one of the differences in ``rows``, b by its first H / 2 + 1.
+
+    Left out are pairs that could not be similar if that were the first difference they share: it is for one of theirs, so none is lost.
+    """
+    side = lambda c: [F.col(x).alias(f"{y}_{c}") for x, y in (("n", "n"), ("x", "x"), ("at", "at"), ("component", "c"))]
+    far = rows.select("root", "shingle", F.col("e").alias("a"), *side("a"))
+    near = rows.where("at <= reach DIV 2").select("root", "shingle", F.col("e").alias("b"), *side("b"))
+    apart = f"(x_a + x_b - 2 * least(x_a - at_a, x_b - at_b)) * {100 + threshold} <= {100 - threshold} * (n_a + n_b)"
     pairs = far.join(near, ["root", "shingle"]).where(f"c_a <> c_b AND x_a >= x_b AND {apart}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b")
 

@@ -187,3 +187,38 @@ def test_candidates_of_a_template_grow_with_its_size(spark, monkeypatch):
     assert none == still == [0, 0]
     print("candidates", few, many)
     assert many <= 6 * few
+
+
+def test_a_template_whose_texts_are_changed_in_places_of_their_own(spark, monkeypatch):
+    # Whichever text is the root, all others have in common what it lacks of the template.
+    rnd, n = random.Random(5), 200
+    base = [f"w{i}" for i in range(200)]
+
+    def member(i):
+        words = list(base)
+        for slot, at in enumerate(rnd.sample(range(200), 9)):
+            words[at] = f"own{i}x{slot}"
+        return " ".join(words)
+
+    rows = [(i, member(i)) for i in range(n)]
+    rows += [(n + i, t.replace("own", "other", 1)) for i, t in rows[:20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = ngram_join.shingle_stats(docs, 5).selectExpr("e", "e2", "n_shingles AS n", "parity", "doc_id AS rep")
+    looked, plain_check = [], ngram_join._checked
+
+    def counting(corpus, pairs):
+        looked.append(pairs.count())
+        return plain_check(corpus, pairs)
+
+    monkeypatch.setattr(ngram_join, "_checked", counting)
+    corpus = ngram_join.Corpus(docs, sets, 5, 80)
+    links = ngram_join.crowd_links(corpus, sets.selectExpr("1L AS key", "e", "n"), spark.createDataFrame([], "a long, b long"))
+    names = dict(sets.select("e", "rep").collect())
+    groups = {}
+    for e, c in ngram_join.components(links).collect():
+        groups.setdefault(c, set()).add(names[e])
+    found = {i: min(g) for g in groups.values() for i in g}
+    wanted = {i: c for i, (_, c) in brute(rows, 5, 80).items()}
+    assert {i: found.get(i, i) for i, _ in rows} == wanted
+    assert sum(c != i for i, c in wanted.items()) >= 20
+    assert sum(looked) <= 5 * n
