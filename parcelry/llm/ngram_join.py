@@ -11,9 +11,12 @@ deleting one shingle on either side); if the slacks plus one sum to H + 1, no pa
 - **Index.** Every segment's subset is a signature; a twentieth of the segments of a band also carry
   their one-deletion neighbourhoods. Signatures are one row each and meet in one shuffle by key; those
   shared by no two different sets are dropped there.
-- **Empty segments** are equal in any two sets that have them, which says nothing. A band has so many segments more than
-  H + 1 that a set can leave its empty ones out (slack -1) and still meet the sum; the few sets that have more empty
-  ones than that keep them. Segments that carry neighbourhoods are kept in any case.
+- **Dull segments.** Empty subsets, and those with nothing but shingles that many sets have, are equal in many sets, which
+  says little. A band has more segments than H + 1, and every set leaves out its dullest ones until H + 1 are left, in an order
+  that only a subset's content decides. What two sets have equal is in the same order in both, so both leave out
+  the same end of it, at most as much as there are spare segments: one equal subset is left, or a trade finds the pair (see
+  below), whatever the order. It is taken from a sample of sets (``known_shingles``). Dull segments that carry neighbourhoods
+  are set aside: no set looks for equal ones there, but trades still do.
 - **Leaders first.** Each shared subset links its members to its smallest one; of its leaders a set is held against
   the one it shares most with, and against others only while the two are not connected. After exact verification
   and connected components, only subsets whose members lie in different components need more work, and only for
@@ -53,9 +56,14 @@ CROWDED = 8
 #: One segment in so many carries one-deletion neighbourhoods.
 NEIGHBOURHOOD_EVERY = 20
 #: Segments of a band beyond those that its sizes need.
-SPARE_PERCENT = 8
+SPARE_PERCENT = 50
+#: Sets that frequent shingles are looked for in, how many of these have such a one, and the most that are told apart.
+SAMPLED = 8192
+FREQUENT = 3
+FREQUENT_MOST = 250_000
 DELETED = 1 << 24
-BAND = 1 << 25
+ASIDE = 1 << 25
+BAND = 1 << 26
 #: Bits of the smallest parity bitmap.
 PARITY_BITS = 1024
 #: Square root of the pairs that a difference may bring; members of one that brings more are described by a new centre, not paired.
@@ -95,10 +103,36 @@ def levels_of(size: int, threshold: int, known: Bands) -> list[int]:
     return [own, own + 1] if size * 100 // threshold >= known.lows[own + 1] else [own]
 
 
-def signatures(shingles: np.ndarray, threshold: int, known: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set, and for each its place: band, whether one shingle is deleted, segment."""
+#: Shingles that many sets have, in ascending order, and how many sets of the sample have each.
+Frequent = tuple[np.ndarray, np.ndarray]
+
+
+def holders_of(shingles: np.ndarray, frequent: Frequent) -> np.ndarray:
+    """How many sets of the sample have each shingle; 0 for one that is not frequent."""
+    known, holders = frequent
+    if not len(known):
+        return np.zeros(len(shingles), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    return np.where(known[at] == shingles, holders[at], 0)
+
+
+def dullness(holders: np.ndarray, segment: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How little each segment's subset tells: fewer the more shingles it has that are not frequent, then by its rarest one; empty ones tell nothing.
+
+    ``holders`` and ``segment`` are in order of segments, which begin at ``edges``. Equal subsets are equally dull.
+    """
+    dull = np.full(len(edges) - 1, np.iinfo(np.int64).max)
+    filled = np.flatnonzero(edges[1:] > edges[:-1])
+    dull[filled] = np.minimum.reduceat(holders, edges[filled])
+    own = np.bincount(segment[holders == 0], minlength=len(dull))
+    return np.where(own > 0, -own, dull)
+
+
+def signatures(shingles: np.ndarray, threshold: int, known: Bands, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set, and for each its place: band, whether the segment is set aside, whether one shingle is deleted, segment."""
     keys, places = [], []
     spread, weight = textscan.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), textscan.mix(shingles)
+    holders = holders_of(shingles, frequent)
     for level in levels_of(len(shingles), threshold, known):
         m, z = int(known.segments[level]), int(known.carrying[level])
         segment = (spread % np.uint64(m)).astype(np.int64)
@@ -111,10 +145,12 @@ def signatures(shingles: np.ndarray, threshold: int, known: Bands) -> tuple[np.n
             edges = np.searchsorted(placed, np.arange(m + 1))
             sums = running[edges[1:]] - running[edges[:-1]]
             salt = textscan.mix(at * np.uint64(0x9E3779B97F4A7C15))
-            empty = (edges[1:] == edges[:-1]) & (np.arange(m) >= z)
-            kept = ~empty if empty.sum() <= known.spare[level] else np.ones(m, dtype=bool)
-            keys.append(textscan.mix(sums + salt)[kept])
-            places.append(at.astype(np.int64)[kept])
+            key = textscan.mix(sums + salt)
+            aside = np.ones(m, dtype=bool)
+            aside[np.lexsort((key, dullness(holders[order], placed, edges)))[: m - int(known.spare[level])]] = False
+            kept = ~aside | (np.arange(m) < z)
+            keys.append(key[kept])
+            places.append((at.astype(np.int64) + ASIDE * aside)[kept])
             inner = order[: edges[z]]
             if len(inner):
                 own = segment[inner]
@@ -163,9 +199,23 @@ def shingle_stats(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, e long, e2 long, parity binary")
 
 
-def signature_rows(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+def known_shingles(corpus: Corpus) -> Frequent:
+    """The shingles that ``FREQUENT`` or more of about ``SAMPLED`` different sets have. They only decide which subsets are dull: any choice gives the same links."""
+    every = max(1, corpus.sets.count() // SAMPLED)
+    sample = shingle_arrays(corpus.docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0), corpus.width)
+    held = sample.groupBy("e").agg(F.first("shingles").alias("shingles")).select(F.explode("shingles").alias("shingle"))
+    held = held.groupBy("shingle").agg(F.count("*").alias("holders")).where(f"holders >= {FREQUENT}")
+    found = held.orderBy(F.desc("holders"), "shingle").limit(FREQUENT_MOST).toArrow()
+    shingles, holders = found.column("shingle").to_numpy().astype(np.int64).view(np.uint64), found.column("holders").to_numpy().astype(np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], holders[order]
+
+
+def signature_rows(corpus: Corpus) -> DataFrame:
     """(key, e, place, n): one row for each signature of each different set of a task."""
+    docs, width, threshold = corpus.docs, corpus.width, corpus.threshold
     known = bands(threshold)
+    frequent = docs.sparkSession.sparkContext.broadcast(known_shingles(corpus))
 
     def run(batches):
         powers, seen = textscan.Powers(), set()
@@ -178,7 +228,7 @@ def signature_rows(docs: DataFrame, width: int, threshold: int) -> DataFrame:
                 if e in seen:
                     continue
                 seen.add(e)
-                key, place = signatures(shingles, threshold, known)
+                key, place = signatures(shingles, threshold, known, frequent.value)
                 keys.append(key)
                 places.append(place)
                 owners.append(np.full(len(key), e, dtype=np.int64))
@@ -237,11 +287,12 @@ class Corpus(NamedTuple):
     def arrays(self, wanted: DataFrame) -> DataFrame:
         """(e, shingles) of the sets in the only column of ``wanted``, staged."""
         wanted = stage(wanted.toDF("e").distinct(), "ngram-wanted")
-        reps = self.sets.join(small(wanted), "e", "left_semi").select("rep")
+        wanted = small(wanted)
+        reps = stage(self.sets.join(wanted, "e", "left_semi").select("rep"), "ngram-reps")
         rows = chosen(self.docs, reps.where("rep IS NOT NULL"))
         if not reps.where("rep IS NULL").isEmpty():
             rows = rows.unionByName(self.docs.where("doc_id IS NULL"))
-        held = shingle_arrays(rows, self.width).join(small(wanted), "e", "left_semi")
+        held = shingle_arrays(rows, self.width).join(wanted, "e", "left_semi")
         return stage(held.groupBy("e").agg(F.first("shingles").alias("shingles")), "ngram-sets")
 
 
@@ -304,7 +355,7 @@ def shared_signatures(corpus: Corpus) -> DataFrame:
     """(key, e, place, n) of the signatures that two different sets or more share."""
     by_key = Window.partitionBy("key")
     return (
-        signature_rows(corpus.docs, corpus.width, corpus.threshold)
+        signature_rows(corpus)
         .repartition("key")
         .withColumn("_low", F.min("e").over(by_key))
         .withColumn("_high", F.max("e").over(by_key))
@@ -337,18 +388,19 @@ def ngram_links(corpus: Corpus) -> DataFrame:
     by_key = Window.partitionBy("key")
     index = stage(shared_signatures(corpus), "ngram-index")
 
-    links = settled(spark, lambda: leader_links(corpus, index.where(f"place & {DELETED} = 0")), "ngram-links")
+    equal = f"place & {DELETED | ASIDE} = 0"
+    links = settled(spark, lambda: leader_links(corpus, index.where(equal)), "ngram-links")
 
     found = settled(spark, lambda: components(links, "ngram-components").toDF("e", "component"), "ngram-found")
     index = index.join(found, "e", "left").withColumn("component", F.coalesce("component", "e"))
     shared_by = (
-        index.where(f"place & {DELETED} = 0")
+        index.where(equal)
         .groupBy("key", "component").agg(F.count("*").alias("n_own"))
         .withColumn("n_all", F.sum("n_own").over(by_key))
         .where("n_all > n_own")
     )
     open_rows = stage(
-        index.where(f"place & {DELETED} = 0").join(shared_by, ["key", "component"]).withColumn("cost", F.col("n_all") - F.col("n_own")),
+        index.where(equal).join(shared_by, ["key", "component"]).withColumn("cost", F.col("n_all") - F.col("n_own")),
         "ngram-open",
     )
     if open_rows.isEmpty():
@@ -356,8 +408,8 @@ def ngram_links(corpus: Corpus) -> DataFrame:
     probes = settled(spark, lambda: allocated(index, open_rows, threshold), "ngram-probes")
     crowd = f"kind = 'equal' AND cost > {CROWDED}"
     a = probes.where(f"NOT ({crowd})").select("key", "kind", F.col("e").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    b = index.select("key", (F.col("place").bitwiseAND(DELETED) != 0).alias("kind_b"), F.col("e").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    fits = "(kind = 'equal' AND NOT kind_b OR kind = 'near' AND kind_b OR kind = 'less' AND NOT kind_b)"
+    b = index.select("key", (F.col("place").bitwiseAND(DELETED) != 0).alias("kind_b"), (F.col("place").bitwiseAND(ASIDE) != 0).alias("aside_b"), F.col("e").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+    fits = "(kind = 'equal' AND NOT kind_b AND NOT aside_b OR kind = 'near' AND kind_b OR kind = 'less' AND NOT kind_b)"
     more = a.join(b, "key").where(f"a <> b AND c_a <> c_b AND {fits}").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b"
     )
@@ -472,7 +524,7 @@ def allocated(index: DataFrame, open_rows: DataFrame, threshold: int) -> DataFra
     The dearest crowded subset of a set is traded for its cheapest slack, the next for the next, while that
     slack is not crowded itself. Segments whose keys nobody shares give slack for nothing.
     """
-    band = F.shiftright("place", 25)
+    band = F.shiftright("place", 26)
     segment = F.col("place").bitwiseAND(DELETED - 1)
     crowded = open_rows.where(F.col("cost") > CROWDED).withColumn("level", band)
     traders = crowded.select("e", "level").distinct()

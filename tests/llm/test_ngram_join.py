@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from parcelry.llm import ngram_join
+from parcelry.llm import graph, ngram_join
 from parcelry.llm.ngram_join import bands, levels_of, ngram_components, one_of_each
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -222,3 +222,39 @@ def test_a_template_whose_texts_are_changed_in_places_of_their_own(spark, monkey
     assert {i: found.get(i, i) for i, _ in rows} == wanted
     assert sum(c != i for i, c in wanted.items()) >= 20
     assert sum(looked) <= 5 * n
+
+
+def test_passages_that_many_texts_have_make_no_crowds(spark, monkeypatch):
+    # A third of each text is one of two passages; the rest is its own. Only the last ten texts are near copies.
+    rnd = random.Random(9)
+    passages = [[f"p{k}x{i}" for i in range(60)] for k in range(2)]
+    rows = [[*passages[i % 2], *(f"own{i}x{k}" for k in range(rnd.randrange(100, 180)))] for i in range(300)]
+    rows += [[*words[:-1], "else"] for words in rows[-10:]]
+    rows = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    crowded, plain_crowds = [], ngram_join.crowd_links
+
+    def counting(corpus, crowds, links):
+        crowded.append(crowds.count())
+        return plain_crowds(corpus, crowds, links)
+
+    monkeypatch.setattr(ngram_join, "crowd_links", counting)
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 5, 80)
+    assert sum(crowded) == 0
+
+
+def test_any_order_of_dullness_gives_the_same_links(spark, monkeypatch):
+    rows = variants(7)
+    monkeypatch.setattr(ngram_join, "CROWDED", 2)
+    monkeypatch.setattr(ngram_join, "dullness", lambda holders, segment, edges: np.zeros(len(edges) - 1, dtype=np.int64))
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 5, 80)
+
+
+@pytest.mark.parametrize("few", [0, graph.FEW_LINKS])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_LINKS", few)
+    links = [(i, i + 1) for i in range(40)] + [(100, 70), (70, 90), (5, 5), (None, 3), (200, 300), (200, 300)]
+    got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(41)] + [(70, 70), (90, 70), (100, 70), (200, 200), (300, 200)]
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
