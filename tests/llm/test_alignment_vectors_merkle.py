@@ -6,11 +6,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -71,6 +74,32 @@ def test_alignment_equals_the_libraries(spark, sf, work, chunk):
     assert Counter(tuple(r) for r in got) == Counter(plain_alignment(rows))
 
 
+@pytest.mark.parametrize(("block", "chunk"), [(200, 3000), (150, 1 << 21)])
+def test_blocks_of_a_chunk_equal_the_libraries(spark, sf, monkeypatch, block, chunk):
+    monkeypatch.setattr(token_alignment, "BLOCK_CHARS", block)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 3 = 0").select("doc_id", "text").collect()] + ODD * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = token_alignment.aligned_documents(docs, FILE_A, FILE_B, 50, chunk).collect()
+    assert Counter(tuple(r) for r in got) == Counter(plain_alignment(rows))
+
+
+@pytest.mark.parametrize("texts", [700, 1])
+def test_memory_of_a_chunk_is_that_of_a_block(monkeypatch, texts):
+    rng = random.Random(texts)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 10))) for _ in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(texts)), "text": [" ".join(rng.choices(words, k=385_000 // texts)) for _ in range(texts)]})
+    monkeypatch.setattr(token_alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = token_alignment.chunk_rows(SimpleNamespace(mapInArrow=lambda run, schema: run), FILE_A, FILE_B)
+    assert sum(map(len, batch.column("text").to_pylist())) > token_alignment.CHUNK_CHARS
+    token_alignment.worker_pair(FILE_A, FILE_B).forget()
+    tracemalloc.start()
+    try:
+        assert sum(len(made.column("doc_id")[0]) for made in run(iter([batch]))) == texts
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_groups_of_a_text(spark):
     a, b = Tokenizer.from_file(FILE_A), sentencepiece.SentencePieceProcessor(model_file=FILE_B)
     text = "Merge paths: na\u00efve tokens,  twice.\n" * 40
